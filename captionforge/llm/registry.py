@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, mixing, quality_rules, sharding, simhash
+from . import bpe, exact_dedup, licenses, mixing, quality_rules, sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
         "op2_bpe": bpe.op2_bpe,
+        "op3_licenses": licenses.op3_licenses,
         "op4_simhash": simhash.op4_simhash,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op6_mixing": mixing.op6_mixing,
