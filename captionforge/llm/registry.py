@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, licenses, mixing, quality_rules, sharding, simhash
+from . import bpe, exact_dedup, html_extract, licenses, lm_scoring, mixing, quality_rules, sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_simhash": simhash.op4_simhash,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op6_mixing": mixing.op6_mixing,
+        "op7_html_extraction": html_extract.op7_html_extraction,
+        "op8_lm_scoring": lm_scoring.op8_lm_scoring,
         "op10_sharding": sharding.op10_sharding,
         "pipeline": corpus_pipeline.run,
     }
