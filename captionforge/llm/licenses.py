@@ -140,13 +140,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     # a gram counts once a paragraph, and few are left to make distinct after the join
     met = exploded.join(F.broadcast(weights), "gram").distinct()
     scored = met.groupBy(*key).agg(*[F.sum(f"w{k}").alias(f"z{k}") for k in range(len(classes))], F.collect_set("gram").alias("_hits"))
-    logits = [(F.col(f"z{k}") + F.lit(float(model["bias"][k]))) / model["temperature"] for k in range(len(classes))]
-    top = F.greatest(*logits)
-    share = [F.exp(z - top) for z in logits]
-    total = functools.reduce(lambda a, b: a + b, share)
-    ranked = F.sort_array(F.array(*[F.struct((-s / total).alias("p"), F.lit(c).alias("family")) for s, c in zip(share[:-1], classes[:-1], strict=True)]))
-    found = scored.select(*key, "_hits", ranked[0].alias("_best"), (share[-1] / total).alias("_none"))
-    found = found.select(*key, "_hits", F.col("_best.family").alias("_family"), (-F.col("_best.p")).alias("probability"), "_none").filter("probability > _none")
+    # one step at a time: each is named more than once by the next
+    z = [(F.col(f"z{k}") + F.lit(float(model["bias"][k]))) / model["temperature"] for k in range(len(classes))]
+    found = scored.select(*key, "_hits", F.array(*z).alias("_z")).withColumn("_top", F.array_max("_z"))
+    found = found.withColumn("_e", F.transform("_z", lambda x: F.exp(x - F.col("_top"))))
+    found = found.withColumn("_sum", F.aggregate("_e", F.lit(0.0), lambda a, x: a + x)).withColumn("_best", F.array_max(F.slice("_e", 1, len(classes) - 1)))
+    found = found.filter(F.col("_best") > F.element_at("_e", -1))
+    family = F.element_at(F.array(*map(F.lit, classes)), F.array_position("_e", F.col("_best")).cast("int"))
+    found = found.select(*key, "_hits", family.alias("_family"), (F.col("_best") / F.col("_sum")).alias("probability"))
 
     part = lambda t: F.struct((-F.size(F.array_intersect(t["grams"], F.col("_hits"))) / F.size(t["grams"])).alias("s"), t["template"].alias("k"))
     held = found.join(F.broadcast(templates), "_family").withColumn("_at", F.array_min(F.transform("_templates", part)))
