@@ -27,9 +27,11 @@ def with_gray(px: DataFrame) -> DataFrame:
 
 
 def contrast(v: Column | str, by: float = 1.4) -> Column:
-    """The value stretched around the middle, truncated, within a byte."""
+    """The value stretched around the middle in single precision, truncated, within a byte."""
     v = F.col(v) if isinstance(v, str) else v
-    return F.least(F.lit(255), F.greatest(F.lit(0), (v.cast("double") * by + 128.0 * (1 - by)).cast("int")))
+    c = F.lit(by).cast("float")
+    stretched = v.cast("float") * c + F.lit(128.0).cast("float") * (F.lit(1.0).cast("float") - c)
+    return F.least(F.lit(255), F.greatest(F.lit(0), stretched.cast("int")))
 
 
 def contrast_table(spark, by: float = 1.4) -> DataFrame:

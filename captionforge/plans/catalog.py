@@ -355,7 +355,7 @@ def oracle_sql() -> dict[str, str]:
         "prompt_stats": f"SELECT video_id, CAST(length(prompt) AS INTEGER) AS chars, CAST(len(string_split(prompt, chr(10))) AS INTEGER) AS lines, length(prompt) > 100000 AS warned FROM ({prompt_sql('jpn', prompt.GENRES['jpn'], prompt.STYLES['anime'])})",
         "genre": f"WITH {SUBS_SQL} SELECT video_id, {quoted(prompt.GENRES['chinese'])} AS genre, {quoted(prompt.STYLES['other'])} AS style FROM subs GROUP BY video_id",
         "gray": gray_sql("SELECT img_id, y, x, CAST(v AS INTEGER) AS v FROM gray"),
-        "contrast_lut": "SELECT CAST(i AS INTEGER) AS v, CAST(least(255, greatest(0, trunc(i::DOUBLE * 1.4::DOUBLE + 128.0 * (1 - 1.4::DOUBLE)))) AS INTEGER) AS out FROM range(256) t(i)",
+        "contrast_lut": "SELECT CAST(i AS INTEGER) AS v, CAST(least(255, greatest(0, trunc(i::REAL * 1.4::REAL + 128::REAL * (1::REAL - 1.4::REAL)))) AS INTEGER) AS out FROM range(256) t(i)",
         "otsu": otsu + " SELECT img_id, CAST(threshold AS INTEGER) AS threshold FROM t",
         "otsu_binary": otsu + " SELECT g.img_id, y, x, CASE WHEN v > threshold THEN 255 ELSE 0 END AS v FROM gray g JOIN t USING (img_id)",
         "color_mask": f"""WITH {PIXELS_SQL}, p AS (SELECT *, (r + g + b) // 3 AS l, greatest(r, g, b) AS hi, least(r, g, b) AS lo FROM pixels),
