@@ -235,9 +235,7 @@ class Learner:
     def apply_rows(self, name: str, rows: np.ndarray, values: np.ndarray) -> None:
         order = np.argsort(rows.astype(np.uint16) if self.layout.n_inputs < 65_536 else rows, kind="stable")
         own, starts = np.unique(rows[order], return_index=True)
-        sums = np.cumsum(values[order], axis=0, dtype=np.float64)[np.append(starts[1:], len(rows)) - 1]
-        sums[1:] -= sums[:-1].copy()
-        g = sums.astype(np.float32)
+        g = np.add.reduceat(values[order], starts, axis=0)
         s = self.squares[name]
         s[own, 0] += (g * g).mean(1)
         self.p[name][own] -= self.rate * g / np.sqrt(s[own])
