@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from captionforge.functions import text as tx
@@ -15,6 +15,8 @@ from . import carriers, prompt
 from .carriers import ATTEMPTS_SQL, FRAMES_SQL, PIXELS_SQL, SUBS_SQL, WORDS_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: Made when a query is run: columns need a session, the catalogue does not.
+Columns = Callable[[], dict[str, Column]]
 WIDTH, HEIGHT = 1280, 720
 
 
@@ -22,13 +24,13 @@ def on_subs(operator: Callable[..., DataFrame], *args) -> Query:
     return lambda spark, sf_dir: operator(carriers.subs(spark, sf_dir), *args)
 
 
-def on_frames(**columns) -> Query:
+def on_frames(columns: Columns) -> Query:
     """Columns computed from each frame's text."""
-    return lambda spark, sf_dir: carriers.frames(spark, sf_dir).select("video_id", "ts_ms", *[c.alias(n) for n, c in columns.items()])
+    return lambda spark, sf_dir: carriers.frames(spark, sf_dir).select("video_id", "ts_ms", *[c.alias(n) for n, c in columns().items()])
 
 
-def on_lines(**columns) -> Query:
-    return lambda spark, sf_dir: carriers.lines(spark, sf_dir).select("line_id", *[c.alias(n) for n, c in columns.items()])
+def on_lines(columns: Columns) -> Query:
+    return lambda spark, sf_dir: carriers.lines(spark, sf_dir).select("line_id", *[c.alias(n) for n, c in columns().items()])
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,8 +39,8 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return carriers.frames(spark, sf_dir).withColumn("prev", F.lag("text").over(order)).filter("prev is not null")
 
 
-def on_pairs(**columns) -> Query:
-    return lambda spark, sf_dir: pairs(spark, sf_dir).select("video_id", "ts_ms", *[c.alias(n) for n, c in columns.items()])
+def on_pairs(columns: Columns) -> Query:
+    return lambda spark, sf_dir: pairs(spark, sf_dir).select("video_id", "ts_ms", *[c.alias(n) for n, c in columns().items()])
 
 
 def on_gray(operator: Callable[..., DataFrame], *args) -> Query:
@@ -128,7 +130,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    text = F.col("text")
     return {
         "shift_time": on_subs(timing.shift_time, -700),
         "fix_overlap": on_subs(timing.fix_overlap, 30),
@@ -159,23 +160,23 @@ def queries() -> dict[str, Query]:
         "raw_spans": lambda spark, sf_dir: detection.raw_spans(carriers.frames(spark, sf_dir)),
         "detect_subtitles": lambda spark, sf_dir: detection.detect_subtitles(carriers.frames(spark, sf_dir)),
         "detect_clean_fix": pipeline,
-        "score_text": on_frames(score=tx.score_text("text")),
-        "alnum_ratio": on_frames(ratio=tx.alnum_ratio("text")),
-        "clean_text": on_lines(text=tx.clean_text("text")),
-        "normalize_cmp": on_frames(text=tx.normalize_for_comparison("text")),
-        "is_better_text": on_pairs(better=tx.is_better_text("text", "prev")),
-        "similarity": on_pairs(similarity=F.round(tx.similarity("text", "prev"), 9)),
-        "levenshtein": on_pairs(distance=F.levenshtein("text", "prev")),
+        "score_text": on_frames(lambda: dict(score=tx.score_text("text"))),
+        "alnum_ratio": on_frames(lambda: dict(ratio=tx.alnum_ratio("text"))),
+        "clean_text": on_lines(lambda: dict(text=tx.clean_text("text"))),
+        "normalize_cmp": on_frames(lambda: dict(text=tx.normalize_for_comparison("text"))),
+        "is_better_text": on_pairs(lambda: dict(better=tx.is_better_text("text", "prev"))),
+        "similarity": on_pairs(lambda: dict(similarity=F.round(tx.similarity("text", "prev"), 9))),
+        "levenshtein": on_pairs(lambda: dict(distance=F.levenshtein("text", "prev"))),
         "adaptive_threshold": lambda spark, sf_dir: spark.range(1, 11).select(F.col("id").alias("fps"), F.round(tx.adaptive_threshold(F.col("id")), 6).alias("threshold")),
-        "normalize_ocr": on_lines(text=tx.normalize_ocr("text")),
-        "text_quality": on_lines(quality=F.round(tx.quality_of("text"), 9)),
-        "quality_score": on_lines(confidence=F.round(tx.confidence_with_quality("text", F.lit(80.0)), 9)),
-        "cjk_flag": on_lines(cjk=tx.has_cjk("text"), n=tx.cjk_count("text")),
-        "clean_ocr_text": on_lines(text=tx.clean_ocr_text("text")),
-        "dedup_lines": on_lines(text=tx.remove_duplicate_lines("text")),
-        "split_long": lambda spark, sf_dir: cleaning.split_long(carriers.lines(spark, sf_dir).select(F.col("line_id").alias("video_id"), F.lit(1).alias("idx"), F.lit(1000).cast("long").alias("start_ms"), F.lit(9000).cast("long").alias("end_ms"), text)),
-        "trim_ocr": on_lines(text=tx.trim_ocr_text("text")),
-        "remove_noise": on_lines(text=tx.remove_ocr_noise("text")),
+        "normalize_ocr": on_lines(lambda: dict(text=tx.normalize_ocr("text"))),
+        "text_quality": on_lines(lambda: dict(quality=F.round(tx.quality_of("text"), 9))),
+        "quality_score": on_lines(lambda: dict(confidence=F.round(tx.confidence_with_quality("text", F.lit(80.0)), 9))),
+        "cjk_flag": on_lines(lambda: dict(cjk=tx.has_cjk("text"), n=tx.cjk_count("text"))),
+        "clean_ocr_text": on_lines(lambda: dict(text=tx.clean_ocr_text("text"))),
+        "dedup_lines": on_lines(lambda: dict(text=tx.remove_duplicate_lines("text"))),
+        "split_long": lambda spark, sf_dir: cleaning.split_long(carriers.lines(spark, sf_dir).select(F.col("line_id").alias("video_id"), F.lit(1).alias("idx"), F.lit(1000).cast("long").alias("start_ms"), F.lit(9000).cast("long").alias("end_ms"), "text")),
+        "trim_ocr": on_lines(lambda: dict(text=tx.trim_ocr_text("text"))),
+        "remove_noise": on_lines(lambda: dict(text=tx.remove_ocr_noise("text"))),
         "word_confidence": word_confidence,
         "line_confidence": line_confidence,
         "best_pass": best_pass,

@@ -265,3 +265,13 @@ def test_queries_agree_with_their_sql(spark):
         assert sorted(got_names) == names, name
         order = [got_names.index(n) for n in names]
         assert Counter(tuple(r[n] for n in names) for r in df.collect()) == Counter(tuple(r[i] for i in order) for r in rows), name
+
+
+def test_catalogue_needs_no_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries()); assert 'auto_fix' in e.queries()"
+    assert subprocess.run([sys.executable, "-c", code], cwd=root, timeout=120).returncode == 0
