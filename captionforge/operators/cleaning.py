@@ -35,7 +35,7 @@ def merge_short(df: DataFrame, min_duration: int = 150, max_gap: int = 500) -> D
     def joined(last: dict, cue: dict) -> dict:
         return last | {"text": last["text"].removesuffix("\n") + "\n" + cue["text"], "end_ms": cue["end_ms"]}
 
-    return merge(df, joins, joined, order=["idx"])
+    return merge(df, (joins, joined), order=["idx"])
 
 
 def split_long(df: DataFrame, max_lines: int = 2) -> DataFrame:

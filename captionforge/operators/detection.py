@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from captionforge.functions import text as tx
 from captionforge.schema import SUBTITLES, DetectorConfig
 
-from .folds import Rows, fold, is_better, merge, score_text, similarity
+from .folds import Rows, Rule, fold, is_better, merge, merging, score_text, similarity
 from .timing import in_order
 
 
@@ -110,7 +110,7 @@ def better_text(last: dict, cue: dict) -> str:
     return cue["text"] if is_better(cue["text"], last["text"]) else last["text"]
 
 
-def merge_similar(df: DataFrame, least: float, low: int, high: int, furthest: bool) -> DataFrame:
+def similar(least: float, low: int, high: int, furthest: bool) -> Rule:
     """Cues join the last if they are similar and the gap between is from low to below high; the end is the later's, or the furthest."""
 
     def joins(last: dict, cue: dict) -> bool:
@@ -119,22 +119,22 @@ def merge_similar(df: DataFrame, least: float, low: int, high: int, furthest: bo
     def joined(last: dict, cue: dict) -> dict:
         return last | {"end_ms": max(last["end_ms"], cue["end_ms"]) if furthest else cue["end_ms"], "text": better_text(last, cue)}
 
-    return merge(df, joins, joined)
+    return joins, joined
 
 
-def merge_near_duplicates(df: DataFrame, fps: int = 4) -> DataFrame:
-    return merge_similar(df, 0.75, -(1 << 62), max(1500, 5 * interval(fps)), True)
+def near_duplicates(fps: int) -> Rule:
+    return similar(0.75, -(1 << 62), max(1500, 5 * interval(fps)), True)
 
 
-def merge_gapped(df: DataFrame, fps: int = 4) -> DataFrame:
-    return merge_similar(df, 0.85, 0, max(2000, 6 * interval(fps)), False)
+def gapped(fps: int) -> Rule:
+    return similar(0.85, 0, max(2000, 6 * interval(fps)), False)
 
 
-def merge_adjacent(df: DataFrame) -> DataFrame:
-    return merge_similar(df, 0.92, -500, 3000, True)
+def adjacent() -> Rule:
+    return similar(0.92, -500, 3000, True)
 
 
-def merge_continuations(df: DataFrame, max_gap: int = 1500) -> DataFrame:
+def continuations(max_gap: int = 1500) -> Rule:
     """A cue that breaks off with dots or a dash goes on with the next."""
 
     def joins(last: dict, cue: dict) -> bool:
@@ -143,7 +143,23 @@ def merge_continuations(df: DataFrame, max_gap: int = 1500) -> DataFrame:
     def joined(last: dict, cue: dict) -> dict:
         return last | {"text": last["text"].rstrip(".- ") + " " + cue["text"], "end_ms": cue["end_ms"]}
 
-    return merge(df, joins, joined)
+    return joins, joined
+
+
+def merge_near_duplicates(df: DataFrame, fps: int = 4) -> DataFrame:
+    return merge(df, near_duplicates(fps))
+
+
+def merge_gapped(df: DataFrame, fps: int = 4) -> DataFrame:
+    return merge(df, gapped(fps))
+
+
+def merge_adjacent(df: DataFrame) -> DataFrame:
+    return merge(df, adjacent())
+
+
+def merge_continuations(df: DataFrame, max_gap: int = 1500) -> DataFrame:
+    return merge(df, continuations(max_gap))
 
 
 def is_no_noise(min_length: int = 2) -> Column:
@@ -175,5 +191,14 @@ def fix_timeline(df: DataFrame, fps: int = 4) -> DataFrame:
 
 def detect_subtitles(ocr: DataFrame, fps: int = 4, config: DetectorConfig = DetectorConfig()) -> DataFrame:
     """Cues of every video from its frames' texts (video_id, ts_ms, text). A frame that wasn't read has no row; one without text an empty one."""
-    spans = raw_spans(ocr, fps, config).transform(merge_near_duplicates, fps).transform(merge_continuations).transform(merge_gapped, fps).transform(merge_adjacent)
+    rules = [near_duplicates(fps), continuations(), gapped(fps), adjacent()]
+
+    # spans come in order of start, and merging keeps it: one pass per video for all
+    def run(rows: Rows) -> Rows:
+        spans = [r | {"video_id": rows[0]["video_id"]} for r in spans_of(rows, fps, config)]
+        for rule in rules:
+            spans = merging(rule)(spans)
+        return spans
+
+    spans = fold(runs(ocr, fps, config), run, ["first_ms"], SUBTITLES)
     return spans.transform(filter_noise, config.min_length).transform(fix_timeline, fps)

@@ -27,8 +27,12 @@ def fold(df: DataFrame, run: Callable[[Rows], Rows], order: list[str], schema=No
     return df.groupBy(key).applyInPandas(one, schema or df.schema)
 
 
-def merge(df: DataFrame, joins: Callable[[dict, dict], bool], joined: Callable[[dict, dict], dict], order: list[str] | None = None) -> DataFrame:
-    """Cues in order; one that joins the last of those kept so far becomes a part of it."""
+Rule = tuple[Callable[[dict, dict], bool], Callable[[dict, dict], dict]]
+
+
+def merging(rule: Rule) -> Callable[[Rows], Rows]:
+    """Over cues in order: one that joins the last of those kept so far becomes a part of it."""
+    joins, joined = rule
 
     def run(rows: Rows) -> Rows:
         out: Rows = []
@@ -40,7 +44,11 @@ def merge(df: DataFrame, joins: Callable[[dict, dict], bool], joined: Callable[[
                 out.append(row)
         return out
 
-    return fold(df, run, order or ["start_ms", "idx"])
+    return run
+
+
+def merge(df: DataFrame, rule: Rule, order: list[str] | None = None) -> DataFrame:
+    return fold(df, merging(rule), order or ["start_ms", "idx"])
 
 
 def is_alnum(c: str) -> bool:
