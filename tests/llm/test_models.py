@@ -286,6 +286,15 @@ def test_quality_classifier(spark, trusted):
     assert kneser_ney.classify(df.limit(0), model).collect() == []
 
 
+def test_rare_language_beside_a_large_one(spark, trusted):
+    """Clean documents of few rows, in words that the model doesn't know, are judged by their own kind."""
+    model = kneser_ney.fit(trusted)
+    rows = [(i, "the cat sat on the mat and the dog ate", "en", None, None) for i in range(100)]
+    rows += [(1000 + i, f"žluťoučký kůň příšerně úpěl ďábelské ódy večer {'ještě ' * (i % 3)}", lang, None, None) for i in range(6) for lang in ("cs", None)]
+    got = kneser_ney.classify(spark.createDataFrame(rows, SCHEMA), model).collect()
+    assert len(got) == len(rows) and all(r["kept"] for r in got)
+
+
 def test_clean_labelled_documents_stay(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     model = kneser_ney.fit(kneser_ney.trusted_sample(docs, labels))
