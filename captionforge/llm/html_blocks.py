@@ -170,10 +170,13 @@ def blocks(page: str) -> list[tuple[str, Block]]:
     return out
 
 
-def features(found: list[tuple[str, Block]]) -> np.ndarray:
-    """A row for each block: path buckets that it has, its word buckets as a vector of length one, plain numbers."""
+def features(found: list[tuple[str, Block]], first: int = 0, of: int | None = None) -> np.ndarray:
+    """A row for each block: path buckets that it has, its word buckets as a vector of length one, plain numbers.
+
+    Of a slice of a page, first is the number of its first block, and of that of all the page's blocks.
+    """
     out = np.zeros((len(found), FEATURES), np.float32)
-    n = len(found)
+    n = len(found) if of is None else of
     for i, (text, block) in enumerate(found):
         row = out[i]
         row[list(block.known)] = 1
@@ -191,6 +194,6 @@ def features(found: list[tuple[str, Block]]) -> np.ndarray:
             block.tag[:1] == "h" and block.tag[1:].isdigit(),
             block.tag == "li",
             block.tag == "p",
-            (i + 0.5) / n,
+            (first + i + 0.5) / n,
         )
     return out

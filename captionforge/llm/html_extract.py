@@ -28,6 +28,8 @@ MADE, PASSES, STEP, RATE, SEED = 1500, 6, 16, 0.006, 11
 WITHHELD, PULL = 0.5, 1e-4
 #: Rows a worker turns over at once, and padded blocks it labels at once.
 ROWS, PADDED = 256, 20_000
+#: Blocks of a page whose features are held at once.
+SLICE = 4096
 
 Weights = dict[str, np.ndarray]
 
@@ -170,10 +172,16 @@ def label(pages: list[np.ndarray], w: Weights) -> list[np.ndarray]:
     return out
 
 
+def vectored(found: list, w: Weights) -> np.ndarray:
+    """The vectors (blocks, INNER) of a page's blocks, some at once; a block's place is that in the whole page."""
+    parts = [inner(features(found[at : at + SLICE], at, len(found)), w) for at in range(0, max(len(found), 1), SLICE)]
+    return np.concatenate(parts)
+
+
 def main_texts(pages: list[str], w: Weights) -> list[str]:
     """The article of each page: its blocks in order, two line ends between them."""
     found = [blocks(p) for p in pages]
-    vectors = [np.concatenate([inner(features(f[at : at + 4096]), w) for at in range(0, len(f), 4096)]) if len(f) > 4096 else inner(features(f), w) for f in found]
+    vectors = [vectored(f, w) for f in found]
     return ["\n\n".join(text for (text, _), is_main in zip(f, chosen, strict=True) if is_main) for f, chosen in zip(found, label(vectors, w), strict=True)]
 
 

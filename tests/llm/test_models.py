@@ -94,6 +94,14 @@ def test_page_edges(spark):
     assert html_extract.extract(df.limit(0)).collect() == []
 
 
+def test_long_page_is_described_as_in_one_piece():
+    found = html_blocks.blocks("<article>" + "".join(f"<p>Block {k} of a long page.</p>" for k in range(10_000)) + "</article>")
+    assert len(found) == 10_000
+    w = html_extract.fresh(1)
+    got = html_extract.vectored(found, w)
+    assert np.allclose(got, html_extract.inner(html_blocks.features(found), w), atol=1e-6)
+
+
 def test_lstm_gradient():
     r = np.random.default_rng(0)
     w = {k: v.astype(np.float64) for k, v in html_extract.fresh(1).items()}
