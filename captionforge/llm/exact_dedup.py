@@ -6,8 +6,9 @@ Three combining steps, each of which compares the full normalised text and not j
 2. the rows left are dealt by (digest, salt, text), so that a text with very many copies is merged by up to `salts` tasks;
 3. the winners of the salts are combined per (digest, text): at most `salts` rows for any text.
 
-The verdict then goes back to the documents over (digest, second fingerprint), both of fixed width, and no text moves a third time.
-A text with a third of all rows makes that join skewed on the documents' side only, which adaptive execution splits.
+What is kept is named by its row, so keep_exact needs no digest to find it. exact_dedup, which has a row for every document, takes the
+verdict back to the documents over SHA-256 and a second fingerprint, 320 bits together: comparing texts there once more would move them
+a third time. A text with a third of all rows makes that join skewed on the documents' side only, which adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -15,7 +16,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, table
+from .common import keyed, lower_ascii, table
+
+
+def winners(named: DataFrame, salts: int = 16) -> DataFrame:
+    """(_sha, _text, _best, _n): of rows (_best, _text) the greatest _best of each text, and how many rows have it."""
+    keyed_by = named.withColumn("_sha", F.sha2("_text", 256)).withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
+    salted = keyed_by.groupBy("_sha", "_salt", "_text").agg(F.max("_best").alias("_best"), F.count(F.lit(1)).alias("_n"))
+    return salted.groupBy("_sha", "_text").agg(F.max("_best").alias("_best"), F.sum("_n").alias("_n"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
@@ -25,20 +33,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null ids lose to any other id; a group of null ids only has keep_id null and keeps them. Repeated rows (same id and
     text) are one document and share the verdict. Columns other than the two named are ignored. No rows in, no rows out.
     """
-    text = lower_ascii(F.coalesce(F.col(text_col), F.lit("")))
-    keyed = docs.select(F.col(id_col).alias("_id"), text.alias("_text")).select("_id", "_text", F.sha2("_text", 256).alias("_sha"))
-    salted = (
-        keyed.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
-        .groupBy("_sha", "_salt", "_text")
-        .agg(F.max("_id").alias("_keep"), F.count(F.lit(1)).alias("_n"))
-    )
-    winners = (
-        salted.groupBy("_sha", "_text")
-        .agg(F.max("_keep").alias("keep_id"), F.sum("_n").alias("group_size"))
-        .select("_sha", F.xxhash64("_text").alias("_second"), "keep_id", "group_size")
-    )
-    members = keyed.select("_id", "_sha", F.xxhash64("_text").alias("_second"))
-    return members.join(winners, ["_sha", "_second"]).select(
+    named = docs.select(F.col(id_col).alias("_best"), lower_ascii(F.coalesce(F.col(text_col), F.lit(""))).alias("_text"))
+    found = winners(named, salts).select("_sha", F.xxhash64("_text").alias("_second"), F.col("_best").alias("keep_id"), F.col("_n").alias("group_size"))
+    members = named.select(F.col("_best").alias("_id"), F.sha2("_text", 256).alias("_sha"), F.xxhash64("_text").alias("_second"))
+    return members.join(found, ["_sha", "_second"]).select(
         F.col("_id").alias("doc_id"),
         "keep_id",
         "group_size",
@@ -47,10 +45,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def keep_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with the columns they came with."""
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
+def keep_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
+    """One row of each group of equal texts, with the columns it came with.
+
+    Equality is exact_dedup's: null texts are empty ones. Of a group the row with the largest id stays; null ids lose to any other.
+    Rows are told apart by where they are read (common.keyed), so of rows that tie in id, repeated rows and rows of null ids too,
+    exactly one stays, and an id that names several texts keeps each text once. Columns of any name pass through; no rows give none.
+    """
+    rows = keyed(docs)
+    best = F.struct(F.col("row")[id_col].alias("id"), "key").alias("_best")
+    kept = winners(rows.select(best, lower_ascii(F.coalesce(F.col("row")[text_col], F.lit(""))).alias("_text")), salts).select("_best.key")
+    return rows.join(kept, "key", "left_semi").select("row.*")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
-Every source's documents, in the order of a hash of their ids, form a line of tokens that is cut into blocks of equal length.
+Every source's documents, in the order of a hash of their ids and texts, form a line of tokens that is cut into blocks of equal length.
 A schedule of slots says which source comes when: slot k's van der Corput point falls into a source's stretch of the cumulative
 slot shares. Slots are ranked per source; the slot of rank j takes block j of the shuffled line, from its start again once all
 blocks are taken. The schedule is low-discrepancy, so every stretch of it holds the sources in nearly their shares.
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table, words
+from .common import cut, keyed, table, words
 
 WEIGHTS = (5, 2, 1)
 #: No source gives more than so many times its own size.
@@ -24,10 +24,10 @@ BLOCKS, LONGEST = 256, 4096
 BUCKET_BITS, CHUNK, POINT_BITS, GRID = 12, 4096, 40, 1024
 
 
-def sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """doc_id, _source and size: the words of the text, none for null."""
-    size = F.coalesce(F.size(words(F.coalesce(F.col(text_col), F.lit("")))), F.lit(0)).cast("long")
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("_source"), size.alias("size"))
+def sizes(named: DataFrame) -> DataFrame:
+    """Of rows (doc_id, key, _text, _source): doc_id, key, _source, size, the words of the text, none for null, and _h, a hash of id and text."""
+    text = F.coalesce(F.col("_text"), F.lit(""))
+    return named.select("doc_id", "key", "_source", F.size(words(text)).cast("long").alias("size"), F.xxhash64("doc_id", text).alias("_h"))
 
 
 def targets(sized: DataFrame) -> DataFrame:
@@ -88,60 +88,71 @@ def schedule(spark: SparkSession, per: DataFrame) -> DataFrame:
 
 
 def lines(sized: DataFrame, per: DataFrame) -> DataFrame:
-    """Every row with its stretch [_start, _start + size) of its source's line of tokens; (_sid, _bucket, _place) names a row."""
-    hashed = sized.withColumn("_h", F.xxhash64("doc_id", F.lit("mix"))).withColumn("_bucket", F.shiftrightunsigned("_h", 64 - BUCKET_BITS))
+    """Every row with its stretch [_start, _start + size) of its source's line of tokens; (_sid, _bucket, _place) names a row.
+
+    The order is that of a hash of id and text, so it doesn't depend on how rows are stored, and rows of one id, or of none, are in
+    many buckets.
+    """
+    hashed = sized.withColumn("_bucket", F.shiftrightunsigned("_h", 64 - BUCKET_BITS))
     known = hashed.join(per, hashed["_source"].eqNullSafe(per["_source"])).drop(hashed["_source"]).drop(per["_source"])
     totals = known.groupBy("_sid", "_bucket").agg(F.sum("size").alias("_n"))
     before = Window.partitionBy("_sid").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
     totals = totals.withColumn("_before", F.sum("_n").over(before) - F.col("_n")).drop("_n")
-    order = Window.partitionBy("_sid", "_bucket").orderBy("_h", "doc_id", "size")
+    order = Window.partitionBy("_sid", "_bucket").orderBy("_h", "doc_id", "size", "key")
     known = known.withColumn("_place", F.row_number().over(order)).withColumn("_in", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     return known.join(totals, ["_sid", "_bucket"]).withColumn("_start", F.col("_before") + F.col("_in"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, size, source_size, target, taken for each row of docs.
-
-    Sources weigh 5, 2, 1, repeating, by code point, null last; the targets share the sum of all sizes and stop at three times
-    a source's size. taken counts the words the schedule takes from the row, repeats included, never above three times its size;
-    a source's sum is its target rounded. Rows without words (null or empty text) take 0. Repeated rows are rows of their own;
-    rows that tie in id and size are interchangeable. Without rows the result is empty. Other columns are ignored.
-    """
-    spark = docs.sparkSession
-    sized = cut(sizes(docs, id_col, text_col, source_col))
+def taken(rows: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """doc_id, key, size, source_size, target, taken, and _slot, the first slot that takes of it, for each of rows (row, key)."""
+    spark = rows.sparkSession
+    sized = cut(sizes(rows.select(*[F.col("row")[c].alias(n) for c, n in ((id_col, "doc_id"), (text_col, "_text"), (source_col, "_source"))], "key")))
     per = cut(targets(sized))
     slots = schedule(spark, per).join(per.select("_sid", "_b", "_blocks", "_passes", "_rest"), "_sid")
     slots = slots.withColumn("_block", F.col("_rank") % F.col("_blocks")).withColumn("_pass", F.expr("_rank div _blocks"))
     end = F.when(F.col("_pass") < F.col("_passes"), (F.col("_block") + 1) * F.col("_b")).otherwise(F.least((F.col("_block") + 1) * F.col("_b"), F.col("_rest")))
-    slots = slots.select("_sid", "_block", end.alias("_end"))
+    slots = slots.select("_sid", "_block", "_slot", end.alias("_end"))
 
-    rows = lines(sized, per)
-    keep = ["_sid", "_bucket", "_place", "doc_id", "size", "source_size", "target"]
+    stretches = lines(sized, per)
+    keep = ["_sid", "_bucket", "_place", "doc_id", "key", "size", "source_size", "target"]
     last = F.col("_start") + F.greatest(F.col("size") - 1, F.lit(0))
-    pieces = rows.withColumn("_last", last).select(*keep, "_start", "_b", F.explode(F.expr("sequence(_start div _b, _last div _b)")).alias("_block"))
+    pieces = stretches.withColumn("_last", last).select(*keep, "_start", "_b", F.explode(F.expr("sequence(_start div _b, _last div _b)")).alias("_block"))
     part = F.least(F.col("_start") + F.col("size"), F.col("_end")) - F.greatest(F.col("_start"), F.col("_block") * F.col("_b"))
     # least() passes over nulls, so a block that no slot takes is told apart first
     met = pieces.join(slots, ["_sid", "_block"], "left").withColumn("_part", F.when(F.col("_end").isNull(), 0).otherwise(F.greatest(part, F.lit(0))))
-    return met.groupBy(*keep).agg(F.sum("_part").alias("taken")).select("doc_id", "size", "source_size", "target", "taken")
+    return met.groupBy(*keep).agg(F.sum("_part").alias("taken"), F.min(F.when(F.col("_part") > 0, F.col("_slot"))).alias("_slot")).drop("_sid", "_bucket", "_place")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """doc_id, size, source_size, target, taken, slot for each row of docs.
+
+    Sources weigh 5, 2, 1, repeating, by code point, null last; the targets share the sum of all sizes and stop at three times
+    a source's size. taken counts the words the schedule takes from the row, repeats included, never above three times its size;
+    a source's sum is its target rounded. slot is the first one that takes of the row (null if none does): in its order the sources
+    come in nearly their shares. Rows without words (null or empty text) take 0. Repeated rows are rows of their own, and so are
+    those of one id or of none; rows that tie in id and text are interchangeable. Without rows the result is empty. Other columns
+    are ignored. Reruns agree, however the rows are stored and split.
+    """
+    return taken(keyed(docs), id_col, text_col, source_col).withColumnRenamed("_slot", "slot").drop("key")
 
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: each row of docs as often as it is taken whole, and once more with its first words where a part is left.
 
     A part is the row's first words, one space between them, and its n_chars, if docs has it, is counted anew. Rows of which
-    nothing is taken go, those without words too. An id that names several rows gives each what its rows are given on average.
+    nothing is taken go, those without words too. Every row gives what mix says of it, also where an id names several rows or is
+    null. Columns of any name pass through; no rows give none.
     """
-    taken = mix(docs, id_col, text_col, source_col).groupBy("doc_id").agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
-    taken = taken.filter("_taken > 0").withColumnRenamed("doc_id", "_mix_id")
-    met = docs.join(taken, F.col(id_col).eqNullSafe(F.col("_mix_id")))
-    met = met.withColumn("_copy", F.explode(F.expr("sequence(1, cast(ceil(_taken / _size) as int))")))
-    left = F.col("_taken") - (F.col("_copy") - 1) * F.col("_size")
-    short = left < F.col("_size")
-    part = F.array_join(F.slice(words(F.col(text_col)), F.lit(1), left.cast("int")), " ")
-    out = met.withColumn("_short", short).withColumn(text_col, F.when(F.col("_short"), part).otherwise(F.col(text_col)))
+    rows = keyed(docs)
+    shares = taken(rows, id_col, text_col, source_col).filter("taken > 0").select("key", "size", "taken")
+    met = rows.join(shares, "key").withColumn("copy", F.explode(F.expr("sequence(1, cast(ceil(taken / size) as int))")))
+    left = F.col("taken") - (F.col("copy") - 1) * F.col("size")
+    part = F.array_join(F.slice(words(F.col("row")[text_col]), F.lit(1), left.cast("int")), " ")
+    out = met.select("row", F.when(left < F.col("size"), part).alias("part"))
+    columns = {text_col: F.coalesce("part", F.col("row")[text_col])}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_short"), F.length(text_col).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        columns["n_chars"] = F.when(F.col("part").isNotNull(), F.length("part").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row")["n_chars"])
+    return out.select(*[columns.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

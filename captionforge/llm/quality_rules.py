@@ -48,9 +48,8 @@ def repeated_words(w: Column) -> Column:
     return F.when(F.size(w) < WINDOW, 0).otherwise(counted)
 
 
-def judged(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with _q: the base counts, the words lost with failing lines, and the lines that stay."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+def judged(text: Column) -> Column:
+    """A struct of the base counts, the words lost with failing lines, and the lines that stay."""
     filled = lambda lines: F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     verdict = lambda x: let(words(x), lambda w: F.struct(x.alias("x"), F.when(line_fails(x, w), F.size(w)).otherwise(0).alias("lost")))
     lines = let(
@@ -62,26 +61,16 @@ def judged(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
     counts = let(words(text), lambda w: F.struct(F.size(w).alias("n_words"), repeated_words(w).alias("n_repeat_words")))
     dup = let(filled(F.split(text, "\n")), lambda f: F.size(f) - F.size(F.array_distinct(f)))
-    return docs.withColumn("_counts", counts).withColumn("_lines", lines).withColumn(
-        "_q",
-        F.struct(
-            F.col("_counts.n_words").cast("long").alias("n_words"),
-            F.length(F.regexp_replace(text, SPACE, "")).cast("long").alias("word_chars"),
-            count_of(text, SYMBOLS).cast("long").alias("n_symbols"),
-            dup.cast("long").alias("n_dup_lines"),
-            F.col("_counts.n_repeat_words").cast("long").alias("n_repeat_words"),
-            F.col("_lines.lost").cast("long").alias("lost_words"),
-            F.col("_lines.clean").alias("clean"),
-        ),
-    ).drop("_counts", "_lines")
+    chars = F.length(F.regexp_replace(text, SPACE, ""))
+    return F.struct(counts.alias("counts"), lines.alias("lines"), chars.alias("chars"), count_of(text, SYMBOLS).alias("symbols"), dup.alias("dup"))
 
 
-def _base_failed() -> Column:
-    return (F.col("_q.n_words") < 10) | (F.col("_q.n_repeat_words") * 100 > F.col("_q.n_words") * 20)
+def base_failed(q: Column) -> Column:
+    return (q["counts"]["n_words"] < 10) | (q["counts"]["n_repeat_words"] * 100 > q["counts"]["n_words"] * 20)
 
 
-def _kept(most_lost: int) -> Column:
-    return ~_base_failed() & (F.col("_q.lost_words") * 100 <= F.col("_q.n_words") * most_lost)
+def passes(q: Column, most_lost: int) -> Column:
+    return ~base_failed(q) & (q["lines"]["lost"] * 100 <= q["counts"]["n_words"] * most_lost)
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_lost: int = MOST_LOST) -> DataFrame:
@@ -90,19 +79,25 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     A null or empty text has no words, so it fails the base. Rows are judged one by one: ties, repeated rows and null ids
     need no rule, and an empty table gives none. Other columns are ignored.
     """
-    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return judged(named).select("doc_id", *[F.col(f"_q.{c}") for c in counts], _base_failed().alias("base_failed"), F.col("_q.lost_words"), _kept(most_lost).alias("kept"))
+    q = F.col("q")
+    out = docs.select(F.col(id_col).alias("doc_id"), judged(F.coalesce(F.col(text_col), F.lit(""))).alias("q"))
+    counts = {"n_words": q["counts"]["n_words"], "word_chars": q["chars"], "n_symbols": q["symbols"], "n_dup_lines": q["dup"], "n_repeat_words": q["counts"]["n_repeat_words"]}
+    return out.select("doc_id", *[c.cast("long").alias(n) for n, c in counts.items()], base_failed(q).alias("base_failed"), q["lines"]["lost"].cast("long").alias("lost_words"), passes(q, most_lost).alias("kept"))
 
 
 def keep_quality(docs: DataFrame, text_col: str = "text", most_lost: int = MOST_LOST) -> DataFrame:
-    """The rows of docs that pass, without their failing lines; n_chars, if there, is counted anew where lines went."""
-    kept = judged(docs, text_col).filter(_kept(most_lost))
-    cleaned = F.col("_q.lost_words") > 0
-    columns = {text_col: F.when(cleaned, F.col("_q.clean")).otherwise(F.col(text_col))}
+    """The rows of docs that pass, without their failing lines; n_chars, if there, is counted anew where lines went.
+
+    Rows are judged one by one, so ties, repeated rows and null ids need no rule; null and empty texts fail the base and go. Columns
+    of any name pass through; no rows give none.
+    """
+    row, q = F.col("row"), F.col("q")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), judged(F.coalesce(F.col(text_col), F.lit(""))).alias("q"))
+    cleaned, clean = q["lines"]["lost"] > 0, q["lines"]["clean"]
+    columns = {text_col: F.when(cleaned, clean).otherwise(row[text_col])}
     if "n_chars" in docs.columns:
-        columns["n_chars"] = F.when(cleaned, F.length("_q.clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return kept.select(*[columns[c].alias(c) if c in columns else F.col(c) for c in docs.columns])
+        columns["n_chars"] = F.when(cleaned, F.length(clean).cast(docs.schema["n_chars"].dataType)).otherwise(row["n_chars"])
+    return whole.filter(passes(q, most_lost)).select(*[columns.get(c, row[c]).alias(c) for c in docs.columns])
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

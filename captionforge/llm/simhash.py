@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, table
+from .common import cut, keyed, table
 from .components import stars
 
 RADIUS, SEED, SHINGLE, BITS = 3, 42, 3, 64
@@ -49,18 +49,19 @@ def fingerprint(text: str) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and _fp, the fingerprint as a signed 64-bit integer."""
-    named = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+def fingerprints(named: DataFrame) -> DataFrame:
+    """named with _fp, the fingerprint as a signed 64-bit integer, in place of its last column, the text (null for empty)."""
+    others = named.columns[:-1]
+    whole = named.withColumn(named.columns[-1], F.coalesce(F.col(named.columns[-1]), F.lit("")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
-                found = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "_fp"])
+                found = np.array([fingerprint(t) for t in batch.columns[-1].to_pylist()], dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.int64())], [*others, "_fp"])
 
-    return named.mapInArrow(run, T.StructType([named.schema["doc_id"], T.StructField("_fp", T.LongType())]))
+    return whole.mapInArrow(run, T.StructType([*(named.schema[c] for c in others), T.StructField("_fp", T.LongType())]))
 
 
 def links(distinct: DataFrame, most: int = MOST) -> DataFrame:
@@ -87,6 +88,15 @@ def links(distinct: DataFrame, most: int = MOST) -> DataFrame:
     return pairs.unionByName(tied)
 
 
+def components(found: DataFrame, best: str, most: int) -> DataFrame:
+    """(_fp, _least): for each fingerprint of found (columns `best` and _fp) the least `best` of its component."""
+    reps = cut(found.groupBy("_fp").agg(F.min(best).alias("_rep")))
+    roots = stars(links(reps.select("_fp"), most))
+    rooted = reps.join(roots, reps["_fp"] == roots["node"], "left").select("_fp", "_rep", F.coalesce("root", "_fp").alias("_root"))
+    least = rooted.groupBy("_root").agg(F.min("_rep").alias("_least"))
+    return rooted.join(least, "_root").select("_fp", "_least")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (least id reachable over links, itself included) for each row of docs.
 
@@ -94,19 +104,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     name it only if all ids in it are null. Repeated rows and ties have one fingerprint and so one component. No rows, no result.
     Other columns are ignored.
     """
-    found = cut(fingerprints(docs, id_col, text_col))
-    reps = cut(found.groupBy("_fp").agg(F.min("doc_id").alias("_rep")))
-    roots = stars(links(reps.select("_fp"), most))
-    rooted = reps.join(roots, reps["_fp"] == roots["node"], "left").select("_fp", "_rep", F.coalesce("root", "_fp").alias("_root"))
-    least = rooted.groupBy("_root").agg(F.min("_rep").alias("component_id"))
-    named = rooted.join(least, "_root").select("_fp", "component_id")
-    return found.join(named, "_fp").select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = cut(fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))))
+    named = components(found, "doc_id", most)
+    return found.join(named, "_fp").select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), F.col("_least").alias("component_id"))
 
 
-def keep_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component, the one with the least id, with the columns it came with."""
-    kept = near_duplicates(docs, id_col, text_col).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
+def keep_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
+    """One row of each component, with the columns it came with.
+
+    Fingerprints, links and components are near_duplicates'. Of a component the row with the least id stays; one of a null id stays
+    only if all ids are null. Rows are told apart by where they are read (common.keyed), so of rows that tie in id, repeated rows and
+    rows of null ids too, exactly one stays. Columns of any name pass through; no rows give none.
+    """
+    rows = keyed(docs)
+    found = cut(fingerprints(rows.select(F.struct(F.col("row")[id_col].isNull().alias("null"), F.col("row")[id_col].alias("id"), "key").alias("_best"), F.col("row")[text_col].alias("_text"))))
+    kept = components(found, "_best", most).select("_least.key").distinct()
+    return rows.join(kept, "key", "left_semi").select("row.*")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
