@@ -64,7 +64,7 @@ def distinct_chars(text: Column) -> Column:
 
 def one_char_repeated(text: Column) -> Column:
     """Whether a text of more than two characters is one of them, over and over."""
-    return text.rlike(r"(?s)^(.)\1{2,}$")
+    return text.rlike(r"(?s)^(.)\1{2,}\z")
 
 
 def alnum_ratio(text: Column | str) -> Column:

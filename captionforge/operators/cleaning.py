@@ -26,7 +26,7 @@ def remove_duplicate_lines(df: DataFrame) -> DataFrame:
 def merge_short(df: DataFrame, min_duration: int = 150, max_gap: int = 500) -> DataFrame:
     """A cue shorter than min_duration takes in those that follow within max_gap, line by line, until it is long enough.
 
-    Cues are taken in list order. Only runs that hold a short cue need the fold; it is one pass over a video's cues.
+    Cues are taken in list order. Every cue goes through the fold, which is one pass over a video's cues.
     """
 
     def joins(last: dict, cue: dict) -> bool:
@@ -107,8 +107,9 @@ def statistics(df: DataFrame) -> DataFrame:
 
 
 def statistics_text(stats: DataFrame) -> DataFrame:
-    """(video_id, text): statistics as they are shown."""
-    return stats.select("video_id", F.format_string("%d subtitles, %d ms, %.1f lines", "total", "total_duration", "avg_lines").alias("text"))
+    """(video_id, text): statistics as they are shown. (The wording is fixed.)"""
+    said = F.format_string("Total: %d | Avg: %dms | Min: %dms | Max: %dms | Avg Lines: %.1f", "total", "avg_duration", "min_duration", "max_duration", "avg_lines")
+    return stats.select("video_id", said.alias("text"))
 
 
 def grid(df: DataFrame) -> DataFrame:
@@ -118,8 +119,11 @@ def grid(df: DataFrame) -> DataFrame:
     return df.select("video_id", "idx", srt_time("start_ms").alias("start"), srt_time("end_ms").alias("end"), F.concat(duration().cast("string"), F.lit("ms")).alias("duration"), F.replace(tx.filled("text"), F.lit("\n"), F.lit(" | ")).alias("text"))
 
 
-def validate(df: DataFrame) -> DataFrame:
-    """(video_id, idx, error): blank texts, times that can't be, overlaps with the next cue of the list."""
+def validate(df: DataFrame, videos: DataFrame | None = None) -> DataFrame:
+    """(video_id, idx, error): blank texts, times that can't be, overlaps with the next cue of the list.
+
+    Of videos (video_id), if given, those without any cue have an error of their own, with idx null.
+    """
     following = df.withColumns({"_next": F.lead("start_ms").over(in_list()), "_idx": F.lead("idx").over(in_list())})
     name = F.concat(F.lit("Subtitle "), F.col("idx").cast("string"))
     error = lambda test, *says: F.when(test, F.concat(name, *says))
@@ -129,4 +133,8 @@ def validate(df: DataFrame) -> DataFrame:
         error(F.col("end_ms") <= F.col("start_ms"), F.lit(": EndTime <= StartTime")),
         error(F.col("end_ms") > F.col("_next"), F.lit(": Overlap với subtitle "), F.col("_idx").cast("string")),
     )
-    return following.select("video_id", "idx", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("error"))
+    errors = following.select("video_id", "idx", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("error"))
+    if videos is None:
+        return errors
+    without = videos.select("video_id").distinct().join(df.select("video_id").distinct(), "video_id", "left_anti")
+    return errors.unionByName(without.select("video_id", F.lit(None).cast(df.schema["idx"].dataType).alias("idx"), F.lit("Không có subtitle").alias("error")))

@@ -129,3 +129,18 @@ def similarity(first: str, second: str) -> float:
     if min(len(a), len(b)) > 5 and len(wa) > 1 and len(wb) > 1:
         best = max(best, len(set(wa) & set(wb)) / max(len(wa), len(wb)))
     return max(0.0, min(1.0, best))
+
+
+def quality(text: str) -> float:
+    """As functions.text.quality_of has it, which tests hold this against."""
+    c = text.replace(" ", "").replace("\n", "")
+    if not c.strip():
+        return 0.0
+    n, alnum, _, cjk = counts(c)
+    kinds, marks = len(set(c)), len({x for x in c if not is_alnum(x) and not x.isspace()})
+    total = 0.5 + (0.2 + min(0.15, cjk * 0.03) if cjk else (alnum / n - 0.5) * 0.3)
+    total += 0.1 if 2 <= n <= 200 else 0.05 if n == 1 and cjk else 0.0
+    total -= 0.12 if marks > 6 else 0.05 if marks > 3 else 0.0
+    if n > 3:
+        total -= 0.35 if kinds <= 1 else 0.20 if kinds <= 2 and not cjk else 0.10 if kinds / n < 0.15 and not cjk else 0.0
+    return max(0.0, min(1.0, total))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import pixels
+
 LIKELY = 0.15
 
 
@@ -51,6 +53,17 @@ def refine(region: Column, width: Column | str, height: Column | str) -> Column:
     return rect(x, y, F.least(col(width) - x, region["w"] + px * 2), F.least(col(height) - y, region["h"] + py * 2))
 
 
+def scored_candidates(values: DataFrame, width: int, height: int) -> DataFrame:
+    """(img_id, width, height, ord, region, priority, score): grey values (img_id, y, x, v) scored in each candidate's own rectangle.
+
+    A pixel goes to the candidates that it lies in, four at most, and neighbours are those within the rectangle.
+    """
+    found = F.filter(candidates(F.lit(width), F.lit(height)), lambda c: (F.col("x") >= c["region"]["x"]) & (F.col("x") < c["region"]["x"] + c["region"]["w"]) & (F.col("y") >= c["region"]["y"]) & (F.col("y") < c["region"]["y"] + c["region"]["h"]))
+    each = values.withColumn("c", F.explode(found)).select(F.struct("img_id", "c").alias("img_id"), "y", "x", "v")
+    score = pixels.region_score(each)
+    return score.select("img_id.img_id", F.lit(width).alias("width"), F.lit(height).alias("height"), "img_id.c.ord", "img_id.c.region", "img_id.c.priority", "score")
+
+
 def best_region(scored: DataFrame, keys: list[str], width: str = "width", height: str = "height") -> DataFrame:
     """keys, x, y, w, h, confidence: of scored candidates (keys, ord, region, priority, score, and the frame's size) the best, padded.
 

@@ -15,6 +15,8 @@ from .folds import Rows, fold
 
 #: Least duration that a cut leaves, and duration a cut falls back to.
 FLOOR = 100
+#: Frames per second of a video that nothing is known of. (Fixed value.)
+UNKNOWN_FPS = 4
 
 
 def in_order():
@@ -141,8 +143,11 @@ def refine_timing(df: DataFrame, frame_text: DataFrame, step: int = 100, bucket:
     return out.withColumns({"start_ms": F.coalesce("_start", "start_ms"), "end_ms": F.coalesce("_end", "end_ms")}).select(*df.columns)
 
 
-def optimal_fps(frame_text: DataFrame, sample: int = 100) -> DataFrame:
-    """(video_id, changes, fps): frames per second by how often text comes and goes in a video's middle frames."""
+def optimal_fps(frame_text: DataFrame, sample: int = 100, videos: DataFrame | None = None) -> DataFrame:
+    """(video_id, changes, fps): frames per second by how often text comes and goes in a video's middle frames.
+
+    Of videos (video_id), if given, those without frames get UNKNOWN_FPS, with changes null.
+    """
     order = Window.partitionBy("video_id").orderBy("ts_ms")
     whole = Window.partitionBy("video_id")
     numbered = frame_text.withColumns({"_k": F.row_number().over(order) - 1, "_n": F.count(F.lit(1)).over(whole)})
@@ -150,4 +155,8 @@ def optimal_fps(frame_text: DataFrame, sample: int = 100) -> DataFrame:
     middle = numbered.filter((F.col("_k") >= F.col("_first")) & (F.col("_k") < F.col("_first") + F.least(F.col("_n"), F.lit(sample))))
     flips = middle.withColumn("_flip", F.col("has_text") != F.lag("has_text", 1, False).over(order))
     counted = flips.groupBy("video_id").agg(F.count_if("_flip").alias("changes"))
-    return counted.withColumn("fps", F.when(F.col("changes") > 25, 6).when(F.col("changes") > 15, 4).otherwise(2))
+    found = counted.withColumn("fps", F.when(F.col("changes") > 25, 6).when(F.col("changes") > 15, 4).otherwise(2))
+    if videos is None:
+        return found
+    every = videos.select("video_id").distinct().join(found, "video_id", "left")
+    return every.withColumn("fps", F.coalesce("fps", F.lit(UNKNOWN_FPS)))

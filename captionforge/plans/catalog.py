@@ -11,13 +11,16 @@ from captionforge.functions import text as tx
 from captionforge.operators import cleaning, detection, ocr, pixels, regions, timing
 from captionforge.sources import frames, srt
 
-from . import carriers, prompt
+from . import carriers, fold_sql, prompt
 from .carriers import ATTEMPTS_SQL, FRAMES_SQL, PIXELS_SQL, SUBS_SQL, WORDS_SQL
+from .fold_sql import ALNUM, CJK, FIX, SPECIAL
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Made when a query is run: columns need a session, the catalogue does not.
 Columns = Callable[[], dict[str, Column]]
 WIDTH, HEIGHT = 1280, 720
+#: Whole rows of every carrier image.
+IMAGE = (20, 27)
 
 
 def on_subs(operator: Callable[..., DataFrame], *args) -> Query:
@@ -48,11 +51,7 @@ def on_gray(operator: Callable[..., DataFrame], *args) -> Query:
 
 
 def scored_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The score of each candidate region for each image, by pixel counts of the image as a whole, turned by region."""
-    score = pixels.region_score(pixels.with_gray(carriers.pixels(spark, sf_dir)))
-    each = score.select("img_id", F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"), "total", "bright", F.explode(regions.candidates(F.lit(WIDTH), F.lit(HEIGHT))).alias("c"))
-    value = ((F.col("bright") * (F.col("c.ord") + 3)) % F.col("total")) / F.col("total")
-    return each.select("img_id", "width", "height", "c.ord", "c.region", "c.priority", value.alias("score"))
+    return regions.scored_candidates(pixels.with_gray(carriers.pixels(spark, sf_dir)), *IMAGE)
 
 
 def region_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,8 +64,7 @@ def region_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def has_subtitle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = pixels.region_score(pixels.with_gray(carriers.pixels(spark, sf_dir)))
-    return scored.select("img_id", regions.has_subtitle("score").alias("likely"))
+    return scored_regions(spark, sf_dir).filter("ord = 0").select("img_id", regions.has_subtitle("score").alias("likely"))
 
 
 def coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +76,7 @@ def coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ocr.lines(carriers.words(spark, sf_dir))
-    return found.select("line_id", F.length("text").alias("n"), F.round("confidence", 6).alias("confidence"))
+    return found.select("line_id", "text", F.round("confidence", 6).alias("confidence"))
 
 
 def word_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,6 +87,14 @@ def best_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ocr.best_pass(carriers.attempts(spark, sf_dir)).select("video_id", "ts_ms", "mode", "text", F.round("confidence", 6).alias("confidence"))
 
 
+def throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is told while frames are read, were each to take 40 ms, or 400 in every seventh video."""
+    whole = Window.partitionBy("video_id")
+    each = F.when(F.col("video_id") % 7 == 0, 400).otherwise(40)
+    done = carriers.frames(spark, sf_dir).select("video_id", F.row_number().over(whole.orderBy("ts_ms")).alias("done"), F.count(F.lit(1)).over(whole).alias("total"))
+    return ocr.throughput(done.withColumn("seconds", F.col("done") * each / 1000)).select("video_id", "done", "percent", "left_s", "said")
+
+
 def frame_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = carriers.frames(spark, sf_dir).select("video_id", F.format_string("frame_%09d.png", "ts_ms").alias("path"))
     return frames.frame_manifest(named, 3)
@@ -140,13 +146,13 @@ def queries() -> dict[str, Query]:
         "adjust_gaps": on_subs(timing.adjust_gaps),
         "time_issues": on_subs(timing.time_issues),
         "time_statistics": on_subs(timing.time_statistics),
-        "validate_subtitles": on_subs(cleaning.validate),
+        "validate_subtitles": lambda spark, sf_dir: cleaning.validate(carriers.subs(spark, sf_dir), carriers.videos(spark, sf_dir)),
         "subtitle_statistics": on_subs(cleaning.statistics),
         "statistics_text": on_subs(lambda df: cleaning.statistics_text(cleaning.statistics(df))),
         "count_valid": on_subs(cleaning.count_valid),
         "fix_overlapping_times": on_subs(cleaning.fix_overlapping_times),
         "fix_timeline": on_subs(detection.fix_timeline),
-        "reindex": on_subs(lambda df: cleaning.reindex(df.filter("idx % 3 <> 0"))),
+        "reindex": on_subs(lambda df: cleaning.reindex(df.withColumn("idx", F.col("idx") * 3 + 5))),
         "filter_noise": on_subs(detection.filter_noise),
         "remove_invalid": on_subs(cleaning.remove_invalid),
         "merge_short": on_subs(cleaning.merge_short),
@@ -171,7 +177,7 @@ def queries() -> dict[str, Query]:
         "normalize_ocr": on_lines(lambda: dict(text=tx.normalize_ocr("text"))),
         "text_quality": on_lines(lambda: dict(quality=F.round(tx.quality_of("text"), 9))),
         "quality_score": on_lines(lambda: dict(confidence=F.round(tx.confidence_with_quality("text", F.lit(80.0)), 9))),
-        "cjk_flag": on_lines(lambda: dict(cjk=tx.has_cjk("text"), n=tx.cjk_count("text"))),
+        "cjk_flag": on_subs(lambda df: df.select("video_id", "idx", tx.has_cjk("text").alias("cjk"), tx.cjk_count("text").alias("n"))),
         "clean_ocr_text": on_lines(lambda: dict(text=tx.clean_ocr_text("text"))),
         "dedup_lines": on_lines(lambda: dict(text=tx.remove_duplicate_lines("text"))),
         "split_long": lambda spark, sf_dir: cleaning.split_long(carriers.lines(spark, sf_dir).select(F.col("line_id").alias("video_id"), F.lit(1).alias("idx"), F.lit(1000).cast("long").alias("start_ms"), F.lit(9000).cast("long").alias("end_ms"), "text")),
@@ -180,7 +186,8 @@ def queries() -> dict[str, Query]:
         "word_confidence": word_confidence,
         "line_confidence": line_confidence,
         "best_pass": best_pass,
-        "empty_rate": lambda spark, sf_dir: ocr.empty_rate(carriers.frames(spark, sf_dir), 0.2),
+        "empty_rate": lambda spark, sf_dir: ocr.empty_rate(carriers.frames(spark, sf_dir)),
+        "throughput": throughput,
         "is_video": lambda spark, sf_dir: carriers.table(spark, sf_dir, "part").select("p_partkey", frames.is_video(F.concat("p_name", F.element_at(F.array(*map(F.lit, [".MP4", ".mkv", ".txt", ".mov"])), (F.col("p_partkey") % 4 + 1).cast("int")))).alias("video")),
         "frame_manifest": frame_manifest,
         "duration_parse": duration_parse,
@@ -188,7 +195,7 @@ def queries() -> dict[str, Query]:
         "frame_seek": frame_seek,
         "srt_export": on_subs(srt.srt_strings),
         "srt_roundtrip": srt_roundtrip,
-        "prompt": on_subs(prompt.prompts, "eng"),
+        "prompt": on_subs(prompt.prompts, "chi_sim"),
         "prompt_stats": on_subs(lambda df: prompt.prompt_statistics(prompt.prompts(df, "jpn"))),
         "genre": on_subs(prompt.genres, "chi_sim"),
         "gray": lambda spark, sf_dir: pixels.with_gray(carriers.pixels(spark, sf_dir)),
@@ -206,16 +213,12 @@ def queries() -> dict[str, Query]:
         "has_subtitle": has_subtitle,
         "coordinates": coordinates,
         "refine_timing": refine_timing,
-        "optimal_fps": lambda spark, sf_dir: timing.optimal_fps(carriers.frame_text(spark, sf_dir)),
+        "optimal_fps": lambda spark, sf_dir: timing.optimal_fps(carriers.frame_text(spark, sf_dir), videos=carriers.videos(spark, sf_dir)),
     }
 
 
 W = "OVER (PARTITION BY video_id ORDER BY start_ms, idx)"
 CUE = "video_id, idx, start_ms, CAST(end_ms AS BIGINT) AS end_ms, text"
-ALNUM = r"(length({0}) - length(regexp_replace({0}, '[\p{{L}}\p{{Nd}}]', '', 'g')))"
-SPECIAL = r"length(regexp_replace({0}, '[\p{{L}}\p{{Nd}}\s]', '', 'g'))"
-FIX = "CASE WHEN end_ms > n THEN CASE WHEN n - 30 <= start_ms THEN start_ms + 100 ELSE n - 30 END ELSE end_ms END"
-CJK = r"\x{4e00}-\x{9fff}\x{3040}-\x{30ff}\x{ac00}-\x{d7af}"
 
 
 def time_text(ms: str) -> str:
@@ -248,15 +251,10 @@ def oracle_sql() -> dict[str, str]:
     ratio = lambda t: f"CASE WHEN length({t}) = 0 THEN 0.0::DOUBLE ELSE {alnum(t)} / length({t}) END"
     trim = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
     lined = f"list_filter(list_transform(string_split(text, chr(10)), lambda x: {trim.format('x')}), lambda x: x <> '')"
-    norm = lambda t: f"regexp_replace(translate(lower({t}), '01|!$@', 'oiiisa'), '[^a-z0-9_ ]', '', 'g')"
+    norm = lambda t: f"regexp_replace(translate(lower({t}), '01|!$@', 'oiiisa'), '[^a-z0-9_ {fold_sql.WIDE}]', '', 'g')"
     bars = "regexp_replace(replace(replace(text, '|', ''), '_', ''), '  +', ' ', 'g')"
     squeezed = "replace(replace(text, ' ', ''), chr(10), '')"
     kinds = lambda t: f"CASE WHEN length({t}) = 0 THEN 0 ELSE len(list_distinct(string_split({t}, ''))) END"
-    floor = "greatest(end_ms, start_ms + 250)"
-    cut = f"CASE WHEN ({floor} + n) // 2 - start_ms >= 250 THEN ({floor} + n) // 2 - 10 ELSE n - 10 END"
-    fixed = f"CASE WHEN {floor} > n THEN CASE WHEN {cut} <= start_ms THEN start_ms + 250 ELSE {cut} END ELSE {floor} END"
-    valid = f"trim(text) <> '' AND end_ms - start_ms >= 80 AND length(text) >= 2 AND {alnum('text')} >= 2 AND NOT (length(text) > 2 AND {kinds('text')} <= 1)"
-    noise = f"length(text) >= 2 AND {ratio('text')} >= 0.20 AND NOT (end_ms - start_ms < 80 AND length(text) < 3) AND NOT (length(text) > 2 AND {kinds('text')} <= 1)"
     issue = "SELECT video_id, idx, '{0}' AS issue_type, {1} AS description FROM s WHERE {2}"
     ms = "CAST(end_ms - start_ms AS VARCHAR) || 'ms'"
     error = "SELECT video_id, idx, 'Subtitle ' || CAST(idx AS VARCHAR) || {0} AS error FROM s WHERE {1}"
@@ -269,10 +267,19 @@ def oracle_sql() -> dict[str, str]:
         first, last = prompt.LONG.split("{n}")
         return f"WITH {SUBS_SQL} SELECT video_id, {quoted(head)} || CASE WHEN count(*) > 50 THEN {quoted(first)} || CAST(count(*) AS VARCHAR) || {quoted(last)} ELSE '' END || {quoted(prompt.BODY)} || {body} || {quoted(prompt.TAIL)} AS prompt FROM subs GROUP BY video_id"
 
+    old = f"WITH {SUBS_SQL} SELECT video_id, bool_or(regexp_matches(text, '{'|'.join(prompt.ANCIENT)}')) AS a FROM subs GROUP BY video_id"
     word = f"least(100.0, greatest(0.0, 85.0 + CASE WHEN length(text) >= 3 THEN 5 ELSE 0 END + CASE WHEN length(text) >= 5 THEN 3 ELSE 0 END + CASE WHEN length(text) = 1 THEN CASE WHEN {alnum('text')} = 1 THEN -5 ELSE -25 END ELSE 0 END + CASE WHEN length(text) > 1 AND {alnum('text')} * 2 < length(text) THEN -15 ELSE 0 END + CASE WHEN regexp_matches(text, '[{CJK}]') THEN 5 ELSE 0 END + CASE WHEN w < 8 OR h < 8 THEN -20 ELSE 0 END + CASE WHEN w / greatest(1.0, h) BETWEEN 0.2 AND 15 THEN 3 ELSE 0 END))::DOUBLE"
-    quality = f"CASE WHEN NOT regexp_matches(text, '\\S') THEN 0.0 ELSE (SELECT least(1.0, greatest(0.0, 0.5 + CASE WHEN cj > 0 THEN 0.2 + least(0.15, cj * 0.03) ELSE (al::DOUBLE / n - 0.5) * 0.3 END + CASE WHEN n BETWEEN 2 AND 200 THEN 0.1 WHEN n = 1 AND cj > 0 THEN 0.05 ELSE 0 END + CASE WHEN mk > 6 THEN -0.12 WHEN mk > 3 THEN -0.05 ELSE 0 END + CASE WHEN n <= 3 THEN 0 WHEN ds <= 1 THEN -0.35 WHEN ds <= 2 AND cj = 0 THEN -0.20 WHEN ds::DOUBLE / n < 0.15 AND cj = 0 THEN -0.10 ELSE 0 END))) END"
+    rated = "CASE WHEN NOT regexp_matches(text, '\\S') THEN 0.0::DOUBLE ELSE least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.5::DOUBLE + CASE WHEN cj > 0 THEN 0.2::DOUBLE + least(0.15::DOUBLE, cj * 0.03::DOUBLE) ELSE (al::DOUBLE / n - 0.5) * 0.3::DOUBLE END + CASE WHEN n BETWEEN 2 AND 200 THEN 0.1 WHEN n = 1 AND cj > 0 THEN 0.05 ELSE 0 END + CASE WHEN mk > 6 THEN -0.12 WHEN mk > 3 THEN -0.05 ELSE 0 END + CASE WHEN n <= 3 THEN 0 WHEN ds <= 1 THEN -0.35 WHEN ds <= 2 AND cj = 0 THEN -0.20 WHEN ds::DOUBLE / n < 0.15 AND cj = 0 THEN -0.10 ELSE 0 END)) END"
     factor = "CASE WHEN length(text) < 2 THEN 0.5 WHEN length(text) < 4 THEN 0.7 ELSE 1.0 END * CASE WHEN al::DOUBLE / n < 0.3 THEN 0.4 WHEN al::DOUBLE / n < 0.5 THEN 0.7 ELSE 1.0 END"
-    measured = f"(SELECT *, length(c) AS n, {alnum('c')} AS al, length(c) - length(regexp_replace(c, '[{CJK}]', '', 'g')) AS cj, {kinds('c')} AS ds, {kinds(chr(114))} AS mk FROM (SELECT *, regexp_replace(c, '[\\p{{L}}\\p{{Nd}}\\s]', '', 'g') AS r FROM (SELECT doc_id, text, {squeezed} AS c FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))))"
+    measured_from = lambda source, columns: f"(SELECT *, length(c) AS n, {alnum('c')} AS al, length(c) - length(regexp_replace(c, '[{CJK}]', '', 'g')) AS cj, {kinds('c')} AS ds, {kinds(chr(114))} AS mk FROM (SELECT *, regexp_replace(c, '[\\p{{L}}\\p{{Nd}}\\s]', '', 'g') AS r FROM (SELECT {columns}, {squeezed} AS c FROM {source})))"
+    measured = measured_from("(SELECT doc_id, coalesce(text, '') AS text FROM documents)", "doc_id, text")
+    lowered = lambda conf: f"CASE WHEN NOT regexp_matches(text, '\\S') THEN 0.0 WHEN {alnum('text')} = 0 THEN 5.0 ELSE least(100.0, greatest(0.0, {conf} * {factor} * CASE WHEN length(text) > 3 AND {kinds('text')} <= 2 THEN 0.3 ELSE 1.0 END)) END"
+    line_sql = f"""WITH {WORDS_SQL}, v AS (SELECT *, {word} AS conf, length(text) AS n FROM words),
+    r AS (SELECT line_id, row, string_agg(text, ' ' ORDER BY pos) AS text, sum(conf * n) AS s, sum(n) AS n FROM v GROUP BY line_id, row),
+    i AS (SELECT line_id, string_agg(text, chr(10) ORDER BY row) AS text, sum(s) / sum(n) AS mean FROM r GROUP BY line_id)
+    SELECT line_id, text, round(({lowered('mean')})::DOUBLE, 6) AS confidence FROM {measured_from('i', 'line_id, mean, text')}"""
+    plain = "replace(translate(array_to_string(list_filter(list_transform(regexp_split_to_array(text, '[\\r\\n]'), lambda x: " + trim.format("x") + "), lambda x: x <> ''), chr(10)), '“”‘’', '\"\"'''''), '…', '...')"
+    normal = trim.format("regexp_replace(regexp_replace(regexp_replace(" + plain + ", '[\\x00-\\x09\\x0b-\\x1f\\x7f-\\x{9f}]', '', 'g'), '^\\|+\\s*', ''), '\\s*\\|+$', '')")
     texts = r"regexp_replace(regexp_replace(text, '^[\s\-_=+|]+|[\s\-_=+|]+$', '', 'g'), '\s+', ' ', 'g')"
     runs = f"""WITH {FRAMES_SQL}, c AS (SELECT video_id, ts_ms, CASE WHEN length(text) >= 2 THEN text ELSE '' END AS text FROM frames),
     d AS (SELECT *, CASE WHEN lag(text) OVER o IS NULL OR lag(text) OVER o <> text OR ts_ms - lag(ts_ms) OVER o > 1000 THEN 1 ELSE 0 END AS b FROM c WINDOW o AS (PARTITION BY video_id ORDER BY ts_ms)),
@@ -283,11 +290,15 @@ def oracle_sql() -> dict[str, str]:
     region = gray_sql(f""", d AS (SELECT *, CASE WHEN {edge[0]} IS NOT NULL AND {edge[1]} IS NOT NULL THEN greatest(abs(v - {edge[0]}), abs(v - {edge[1]})) END AS d FROM gray),
     t AS (SELECT img_id, count(*) AS total, count(*) FILTER (v > 200) AS bright, count(*) FILTER (d > 50) AS edges, count(*) FILTER (d > 100) AS contrasts FROM d GROUP BY img_id),
     u AS (SELECT *, bright::DOUBLE / total AS br, edges::DOUBLE / total AS er, contrasts::DOUBLE / total AS cr FROM t), """).rstrip(", ")
-    argmax = f"""{region}, p AS (SELECT * FROM (VALUES (0, 213, 561, 853, 129, 1.0), (1, 0, 540, 1280, 158, 0.9), (2, 128, 576, 1024, 115, 0.85), (3, 213, 14, 853, 86, 0.5)) AS p(ord, x, y, w, h, pr)),
-    a AS (SELECT img_id, p.*, ((bright * (ord + 3)) % total)::DOUBLE / total * pr::DOUBLE AS v FROM t, p),
-    b AS (SELECT *, row_number() OVER (PARTITION BY img_id ORDER BY v DESC, ord) AS k FROM a),
-    z AS (SELECT img_id, greatest(0, x - w // 20) AS nx, greatest(0, y - h // 10) AS ny, w + w // 20 * 2 AS nw, h + h // 10 * 2 AS nh, least(100.0, greatest(0.0, v) * 100)::DOUBLE AS confidence FROM b WHERE k = 1),
-    best AS (SELECT img_id, CAST(nx AS INTEGER) AS x, CAST(ny AS INTEGER) AS y, CAST(least(1280 - nx, nw) AS INTEGER) AS w, CAST(least(720 - ny, nh) AS INTEGER) AS h, confidence FROM z)"""
+    places = ", ".join(f"({k}, {x}, {y}, {w}, {h}, {pr})" for k, (x, y, w, h, pr) in enumerate([(3, 21, 13, 4, 1.0), (0, 20, 20, 5, 0.9), (2, 21, 16, 4, 0.85), (3, 0, 13, 3, 0.5)]))
+    sides = "lag(v) OVER (PARTITION BY img_id, ord, y ORDER BY x)", "lag(v) OVER (PARTITION BY img_id, ord, x ORDER BY y)"
+    candidates = gray_sql(f""", p AS (SELECT * FROM (VALUES {places}) AS p(ord, px, py, pw, ph, pr)), i AS (SELECT * FROM gray JOIN p ON x >= px AND x < px + pw AND y >= py AND y < py + ph),
+    d AS (SELECT *, CASE WHEN {sides[0]} IS NOT NULL AND {sides[1]} IS NOT NULL THEN greatest(abs(v - {sides[0]}), abs(v - {sides[1]})) END AS d FROM i),
+    t AS (SELECT img_id, ord, px, py, pw, ph, pr, count(*) FILTER (v > 200) / count(*)::DOUBLE AS br, count(*) FILTER (d > 50) / count(*)::DOUBLE AS er, count(*) FILTER (d > 100) / count(*)::DOUBLE AS cr FROM d GROUP BY ALL),
+    u AS (SELECT *, {score} AS score FROM t)""")
+    argmax = f"""{candidates}, b AS (SELECT *, score * pr::DOUBLE AS v, row_number() OVER (PARTITION BY img_id ORDER BY score * pr::DOUBLE DESC, ord) AS k FROM u),
+    z AS (SELECT img_id, greatest(0, px - pw // 20) AS nx, greatest(0, py - ph // 10) AS ny, pw + pw // 20 * 2 AS nw, ph + ph // 10 * 2 AS nh, least(100.0, greatest(0.0, v) * 100)::DOUBLE AS confidence FROM b WHERE k = 1),
+    best AS (SELECT img_id, CAST(nx AS INTEGER) AS x, CAST(ny AS INTEGER) AS y, CAST(least(20 - nx, nw) AS INTEGER) AS w, CAST(least(27 - ny, nh) AS INTEGER) AS h, confidence FROM z)"""
     weighted = ", ".join(f"CAST(CASE WHEN sum(confidence) > 0 THEN trunc(round(sum({c} * confidence) / sum(confidence), 6)) ELSE arg_min({c}, img_id) END AS INTEGER) AS {c}" for c in "xywh")
     otsu = gray_sql(""", h AS (SELECT img_id, v, count(*) AS n FROM gray GROUP BY img_id, v),
     a AS (SELECT *, sum(n) OVER o AS wb, sum(n * v) OVER o AS sb, sum(n) OVER (PARTITION BY img_id) AS w, sum(n * v) OVER (PARTITION BY img_id) AS s FROM h WINDOW o AS (PARTITION BY img_id ORDER BY v)),
@@ -303,36 +314,43 @@ def oracle_sql() -> dict[str, str]:
         "extend_duration": subs_sql("CASE WHEN n - end_ms > 1000 THEN least(end_ms + 3000, n - 50) ELSE end_ms END"),
         "min_duration": subs_sql("greatest(end_ms, start_ms + 500)"),
         "max_duration": subs_sql("least(end_ms, start_ms + 10000)"),
-        "auto_fix": f"WITH {SUBS_SQL}, s AS (SELECT video_id, idx, start_ms, least(greatest(end_ms, start_ms + 300), start_ms + 10000) AS end_ms, text, lead(start_ms) {W} AS n FROM subs), t AS (SELECT * REPLACE ({FIX} AS end_ms) FROM s) SELECT video_id, idx, start_ms, CAST(CASE WHEN n - end_ms > 2000 THEN least(end_ms + 3000, n - 50) ELSE end_ms END AS BIGINT) AS end_ms, text FROM t",
+        "auto_fix": f"WITH {SUBS_SQL}, {fold_sql.auto_fix('out_', 'subs')} SELECT * FROM out_",
         "adjust_gaps": f"""WITH RECURSIVE {SUBS_SQL}, s AS (SELECT *, row_number() {W} AS k FROM subs),
         r AS (SELECT s.*, start_ms AS ns FROM s WHERE k = 1 UNION ALL
           SELECT s.*, CASE WHEN s.start_ms - r.end_ms <> 100 AND s.start_ms - 100 <= r.ns THEN r.ns + 200 ELSE s.start_ms END FROM r JOIN s ON s.video_id = r.video_id AND s.k = r.k + 1),
         t AS (SELECT *, lead(start_ms) OVER o AS n FROM r WINDOW o AS (PARTITION BY video_id ORDER BY k))
         SELECT video_id, idx, CAST(ns AS BIGINT) AS start_ms, CAST(CASE WHEN n IS NULL OR n - end_ms = 100 THEN end_ms WHEN n - 100 <= ns THEN ns + 100 ELSE n - 100 END AS BIGINT) AS end_ms, text FROM t""",
         "time_issues": f"WITH {SUBS_SQL}, s AS (SELECT *, lead(start_ms) {W} AS n, lead(idx) {W} AS ni FROM subs) " + " UNION ALL ".join([issue.format("InvalidDuration", f"'Duration <= 0: ' || {ms}", "end_ms <= start_ms"), issue.format("TooShort", f"'Duration quá ngắn: ' || {ms}", "end_ms - start_ms < 200"), issue.format("TooLong", f"'Duration quá dài: ' || {ms}", "end_ms - start_ms > 15000"), issue.format("Overlap", "'Overlap với subtitle ' || CAST(ni AS VARCHAR)", "end_ms > n")]),
-        "time_statistics": f"WITH {SUBS_SQL}, s AS (SELECT *, lead(start_ms) {W} - end_ms AS g FROM subs) SELECT video_id, count(*) AS total, CAST(trunc(avg(end_ms - start_ms)) AS BIGINT) AS avg_duration, min(end_ms - start_ms) AS min_duration, max(end_ms - start_ms) AS max_duration, CAST(coalesce(trunc(avg(g)), 0) AS BIGINT) AS avg_gap, coalesce(min(g), 0) AS min_gap, coalesce(max(g), 0) AS max_gap, count(*) FILTER (g < 0) AS overlaps FROM s GROUP BY video_id",
-        "validate_subtitles": f"WITH {SUBS_SQL}, s AS (SELECT *, lead(start_ms) OVER (PARTITION BY video_id ORDER BY idx) AS n, lead(idx) OVER (PARTITION BY video_id ORDER BY idx) AS ni FROM subs) " + " UNION ALL ".join([error.format("': Text trống'", "trim(text) = ''"), error.format("': StartTime < 0'", "start_ms < 0"), error.format("': EndTime <= StartTime'", "end_ms <= start_ms"), error.format("': Overlap với subtitle ' || CAST(ni AS VARCHAR)", "end_ms > n")]),
+        "time_statistics": f"WITH {SUBS_SQL} {fold_sql.time_statistics('subs')}",
+        "validate_subtitles": f"WITH {SUBS_SQL}, s AS (SELECT *, lead(start_ms) OVER (PARTITION BY video_id ORDER BY idx) AS n, lead(idx) OVER (PARTITION BY video_id ORDER BY idx) AS ni FROM subs) " + " UNION ALL ".join([error.format("': Text trống'", "NOT regexp_matches(text, '\\S')"), error.format("': StartTime < 0'", "start_ms < 0"), error.format("': EndTime <= StartTime'", "end_ms <= start_ms"), error.format("': Overlap với subtitle ' || CAST(ni AS VARCHAR)", "end_ms > n"), "SELECT c_custkey, NULL, 'Không có subtitle' FROM customer WHERE c_custkey NOT IN (SELECT video_id FROM subs)"]),
         "subtitle_statistics": f"WITH {SUBS_SQL} SELECT video_id, count(*) AS total, CAST(sum(end_ms - start_ms) AS BIGINT) AS total_duration, CAST(trunc(avg(end_ms - start_ms)) AS BIGINT) AS avg_duration, min(end_ms - start_ms) AS min_duration, max(end_ms - start_ms) AS max_duration, avg(len(string_split(text, chr(10)))) AS avg_lines FROM subs GROUP BY video_id",
-        "statistics_text": f"WITH {SUBS_SQL} SELECT video_id, count(*) || ' subtitles, ' || sum(end_ms - start_ms) || ' ms, 1.0 lines' AS text FROM subs GROUP BY video_id",
-        "count_valid": f"WITH {SUBS_SQL} SELECT video_id, count(*) FILTER (trim(text) <> '') AS valid FROM subs GROUP BY video_id",
+        "statistics_text": f"WITH {SUBS_SQL} SELECT video_id, printf('Total: %d | Avg: %dms | Min: %dms | Max: %dms | Avg Lines: %.1f', count(*), CAST(trunc(avg(end_ms - start_ms)) AS BIGINT), CAST(min(end_ms - start_ms) AS BIGINT), CAST(max(end_ms - start_ms) AS BIGINT), round(avg(len(string_split(text, chr(10)))), 1)) AS text FROM subs GROUP BY video_id",
+        "count_valid": f"WITH {SUBS_SQL} SELECT video_id, count(*) FILTER (regexp_matches(text, '\\S')) AS valid FROM subs GROUP BY video_id",
         "fix_overlapping_times": subs_sql("CASE WHEN end_ms > n THEN CASE WHEN n - 30 - start_ms < 100 THEN start_ms + 100 ELSE n - 30 END ELSE end_ms END"),
-        "fix_timeline": subs_sql(fixed),
-        "reindex": f"WITH {SUBS_SQL} SELECT video_id, CAST(row_number() {W} AS INTEGER) AS idx, start_ms, end_ms, text FROM subs WHERE idx % 3 <> 0",
-        "filter_noise": subs_sql(where=noise),
-        "remove_invalid": subs_sql(where=valid),
+        "fix_timeline": f"WITH {SUBS_SQL}, {fold_sql.fix_timeline('out_', 'subs')} SELECT * FROM out_",
+        "reindex": f"WITH {SUBS_SQL} SELECT video_id, CAST(row_number() {W} AS INTEGER) AS idx, start_ms, end_ms, text FROM subs",
+        "filter_noise": subs_sql(where=fold_sql.NO_NOISE),
+        "remove_invalid": subs_sql(where=fold_sql.VALID),
         "grid": f"WITH {SUBS_SQL} SELECT {grid_text} FROM subs",
         "rle_frames": runs,
-        "score_text": texts_sql(f"CAST(length(text) + 2 * {alnum('text')} - 2 * {special('text')} AS INTEGER) AS score"),
+        "score_text": texts_sql(f"CAST(length(text) + 2 * {alnum('text')} + 3 * (length(text) - length(regexp_replace(text, '[{CJK}]', '', 'g'))) - 2 * {special('text')} AS INTEGER) AS score"),
         "alnum_ratio": texts_sql(f"{ratio('text')} AS ratio"),
         "clean_text": lines_sql(f"{texts} AS text"),
         "normalize_cmp": texts_sql(f"{norm('text')} AS text"),
         "is_better_text": texts_sql(f"CASE WHEN length(prev) = 0 THEN true WHEN length(text) = 0 THEN false ELSE length(text) > length(prev) + 3 OR {ratio('text')} > {ratio('prev')} + 0.05 OR (abs(length(text) - length(prev)) <= 2 AND {special('text')} < {special('prev')}) END AS better", "prev IS NOT NULL"),
-        "similarity": f"WITH {FRAMES_SQL}, f AS (SELECT video_id, ts_ms, text, lag(text) OVER (PARTITION BY video_id ORDER BY ts_ms) AS prev FROM frames), g AS (SELECT *, {norm('text')} AS a, {norm('prev')} AS b FROM f WHERE prev IS NOT NULL) SELECT video_id, ts_ms, round(CASE WHEN text = '' OR prev = '' THEN 0.0 WHEN a = b THEN 1.0 ELSE greatest(1.0 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)), CASE WHEN contains(a, b) OR contains(b, a) THEN least(length(a), length(b))::DOUBLE / greatest(length(a), length(b)) ELSE 0.0 END, 0.0) END::DOUBLE, 9) AS similarity FROM g",
-        "levenshtein": texts_sql("CAST(levenshtein(text, prev) AS INTEGER) AS distance", "prev IS NOT NULL"),
+        "similarity": f"WITH {FRAMES_SQL}, f AS (SELECT video_id, ts_ms, text, lag(text) OVER (PARTITION BY video_id ORDER BY ts_ms) AS prev FROM frames), g AS (SELECT *, {fold_sql.norm('text')} AS a, {fold_sql.norm('prev')} AS b FROM f WHERE prev IS NOT NULL) SELECT video_id, ts_ms, round({fold_sql.alike('a', 'b', 'text', 'prev')}, 9) AS similarity FROM g",
+        "levenshtein": texts_sql(f"CAST(levenshtein(translate(text, '{fold_sql.WIDE}', '{fold_sql.NARROW}'), translate(prev, '{fold_sql.WIDE}', '{fold_sql.NARROW}')) AS INTEGER) AS distance", "prev IS NOT NULL"),
         "adaptive_threshold": "SELECT i AS fps, round((0.60 + CASE WHEN i <= 2 THEN 0.03 WHEN i = 3 THEN -0.02 WHEN i = 4 THEN -0.05 WHEN i = 5 THEN -0.08 ELSE -0.10 END)::DOUBLE, 6) AS threshold FROM range(1, 11) t(i)",
-        "text_quality": f"SELECT doc_id AS line_id, round(({quality})::DOUBLE, 9) AS quality FROM {measured}",
-        "quality_score": f"SELECT doc_id AS line_id, round((CASE WHEN NOT regexp_matches(text, '\\S') THEN 0.0 WHEN al = 0 THEN 5.0 ELSE 80.0 * {factor} * CASE WHEN length(text) > 3 AND {kinds('text')} <= 2 THEN 0.3 ELSE 1.0 END END)::DOUBLE, 9) AS confidence FROM {measured}",
-        "cjk_flag": lines_sql(f"regexp_matches(text, '[{CJK}]') AS cjk, CAST(length(text) - length(regexp_replace(text, '[{CJK}]', '', 'g')) AS INTEGER) AS n"),
+        "text_quality": f"SELECT doc_id AS line_id, round(({rated})::DOUBLE, 9) AS quality FROM {measured}",
+        "quality_score": f"SELECT doc_id AS line_id, round(({lowered('80.0')})::DOUBLE, 9) AS confidence FROM {measured}",
+        "cjk_flag": f"WITH {SUBS_SQL} SELECT video_id, idx, regexp_matches(text, '[{CJK}]') AS cjk, CAST(length(text) - length(regexp_replace(text, '[{CJK}]', '', 'g')) AS INTEGER) AS n FROM subs",
+        "clean_ocr_text": lines_sql(f"{fold_sql.CLEAN_OCR} AS text"),
+        "normalize_ocr": lines_sql(f"{normal} AS text"),
+        "line_confidence": line_sql,
+        "throughput": f"""WITH {FRAMES_SQL}, f AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY ts_ms) AS done, count(*) OVER (PARTITION BY video_id) AS total FROM frames),
+        g AS (SELECT *, done / (done * CASE WHEN video_id % 7 = 0 THEN 400 ELSE 40 END / 1000.0::DOUBLE) AS fps FROM f WHERE done % greatest(1, total // 50) = 0),
+        h AS (SELECT *, CAST(trunc(done::DOUBLE / total * 100) AS INTEGER) AS percent, CAST(trunc((total - done) / (fps + 0.001::DOUBLE)) AS BIGINT) AS left_s FROM g)
+        SELECT video_id, CAST(done AS INTEGER) AS done, percent, left_s, printf('OCR: %d/%d (%d%%) - %.1f fps - ETA: %02d:%02d', done, total, percent, fps, left_s // 60 % 60, left_s % 60) AS said FROM h""",
         "dedup_lines": lines_sql(f"coalesce(array_to_string(list_filter({lined}, lambda x, i: list_position({lined}, x) = i), chr(10)), '') AS text"),
         "trim_ocr": lines_sql(f"array_to_string({lined}, chr(10)) AS text"),
         "remove_noise": lines_sql(f"{trim.format(bars)} AS text"),
@@ -340,21 +358,22 @@ def oracle_sql() -> dict[str, str]:
         CAST(CASE WHEN n > 2 THEN least(1000 + least(p + 2, n) * (8000 // n), 9000) ELSE 9000 END AS BIGINT) AS end_ms, CASE WHEN n > 2 THEN array_to_string(l[p + 1 : p + 2], chr(10)) ELSE text END AS text
         FROM (SELECT *, unnest(CASE WHEN n > 2 THEN range(0, n, 2) ELSE [0] END) AS p FROM (SELECT doc_id, text, {lined} AS l, len({lined}) AS n FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)))""",
         "word_confidence": f"WITH {WORDS_SQL} SELECT line_id, pos, {word} AS confidence FROM words",
-        "best_pass": f"""WITH {ATTEMPTS_SQL}, a AS (SELECT *, conf * 0.7 + 30 * least(1.0, 0.5 + 0.15 + 0.1) AS adj FROM attempts),
-        b AS (SELECT *, coalesce(max(CASE WHEN adj >= 92 THEN 1 ELSE 0 END) OVER (PARTITION BY video_id, ts_ms ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS late FROM a),
-        c AS (SELECT *, row_number() OVER (PARTITION BY video_id, ts_ms ORDER BY adj DESC, ord) AS k FROM b WHERE late = 0)
-        SELECT video_id, ts_ms, mode, text, round(adj::DOUBLE, 6) AS confidence FROM c WHERE k = 1""",
-        "empty_rate": f"WITH {FRAMES_SQL} SELECT video_id, count(*) AS frames, count(*) FILTER (trim(text) = '') AS empty, count(*) FILTER (trim(text) = '') > count(*) * 0.2 AS warned FROM frames GROUP BY video_id",
+        "best_pass": f"""WITH {ATTEMPTS_SQL}, a AS (SELECT video_id, ts_ms, ord, mode, text, conf, ord > 2 AS back, regexp_matches(text, '\\S') AS read, conf * 0.7::DOUBLE + 30 * ({rated})::DOUBLE AS adj FROM {measured_from('attempts', 'video_id, ts_ms, ord, mode, conf, text')}),
+        b AS (SELECT *, CASE WHEN back THEN 1 ELSE 0 END AS last_resort, coalesce(max(CASE WHEN adj >= 92 AND length(text) >= 3 AND NOT back AND read THEN 1 ELSE 0 END) OVER (PARTITION BY video_id, ts_ms ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS late FROM a),
+        c AS (SELECT *, row_number() OVER (PARTITION BY video_id, ts_ms ORDER BY last_resort, CASE WHEN back THEN 0 ELSE adj END DESC, ord) AS k FROM b WHERE read AND (back OR late = 0)),
+        d AS (SELECT DISTINCT video_id, ts_ms FROM attempts)
+        SELECT d.video_id, d.ts_ms, c.mode, coalesce(c.text, '') AS text, coalesce(round((CASE WHEN back THEN conf ELSE adj END)::DOUBLE, 6), 0.0) AS confidence FROM d LEFT JOIN c ON c.video_id = d.video_id AND c.ts_ms = d.ts_ms AND k = 1""",
+        "empty_rate": f"WITH {FRAMES_SQL} SELECT video_id, count(*) AS frames, count(*) FILTER (trim(text) = '') AS empty, count(*) FILTER (trim(text) = '') > count(*) * 0.8 AS warned FROM frames GROUP BY video_id",
         "is_video": "SELECT p_partkey, p_partkey % 4 <> 2 AS video FROM part",
         "frame_manifest": f"WITH {FRAMES_SQL}, f AS (SELECT video_id, 'frame_' || lpad(CAST(ts_ms AS VARCHAR), 9, '0') || '.png' AS path, row_number() OVER (PARTITION BY video_id ORDER BY ts_ms) AS k FROM frames) SELECT video_id, CAST(k AS INTEGER) AS frame_no, path, CAST(trunc((k - 1) * 1000.0 / 3.0) AS BIGINT) AS ts_ms FROM f",
         "duration_parse": f"WITH {SUBS_SQL} SELECT video_id, idx, round(CASE WHEN idx % 9 = 0 THEN 0 ELSE end_ms / 1000.0 END::DOUBLE, 3) AS seconds, CASE WHEN idx % 9 = 0 OR end_ms = 0 THEN NULL ELSE CAST(least(100, trunc((start_ms // 3600000 * 3600 + start_ms // 60000 % 60 * 60 + (start_ms % 60000) / 1000.0::DOUBLE) / (end_ms // 3600000 * 3600 + end_ms // 60000 % 60 * 60 + (end_ms % 60000) / 1000.0::DOUBLE) * 100)) AS INTEGER) END AS percent FROM subs",
         "srt_time_parse": f"WITH {SUBS_SQL} SELECT video_id, idx, {time_text('start_ms')} AS formatted, CAST(CASE WHEN idx % 7 = 0 THEN 0 WHEN idx % 11 = 0 THEN 0 WHEN idx % 13 = 0 THEN 1005 ELSE start_ms END AS BIGINT) AS ms FROM subs",
         "frame_seek": f"WITH {SUBS_SQL} SELECT video_id, idx, CAST(start_ms // 1000 * 4 AS INTEGER) AS frame, lpad(CAST(idx // 4 // 3600 % 24 AS VARCHAR), 2, '0') || ':' || lpad(CAST(idx // 4 // 60 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(idx // 4 % 60 AS VARCHAR), 2, '0') AS at FROM subs",
         "srt_export": f"WITH {SUBS_SQL} SELECT video_id, {body} AS content FROM subs GROUP BY video_id",
-        "srt_roundtrip": subs_sql(where="text <> ''"),
-        "prompt": prompt_sql("eng", prompt.GENRES["other"], prompt.STYLES["other"]),
+        "srt_roundtrip": subs_sql(where="text <> ''").replace(" text FROM s", " regexp_replace(text, '\\n$', '') AS text FROM s"),
+        "prompt": f"SELECT video_id, CASE WHEN a THEN x.prompt ELSE y.prompt END AS prompt FROM ({prompt_sql('chi_sim', prompt.GENRES['ancient'], prompt.STYLES['ancient'])}) x JOIN ({prompt_sql('chi_sim', prompt.GENRES['chinese'], prompt.STYLES['other'])}) y USING (video_id) JOIN ({old}) z USING (video_id)",
         "prompt_stats": f"SELECT video_id, CAST(length(prompt) AS INTEGER) AS chars, CAST(len(string_split(prompt, chr(10))) AS INTEGER) AS lines, length(prompt) > 100000 AS warned FROM ({prompt_sql('jpn', prompt.GENRES['jpn'], prompt.STYLES['anime'])})",
-        "genre": f"WITH {SUBS_SQL} SELECT video_id, {quoted(prompt.GENRES['chinese'])} AS genre, {quoted(prompt.STYLES['other'])} AS style FROM subs GROUP BY video_id",
+        "genre": f"SELECT video_id, CASE WHEN a THEN {quoted(prompt.GENRES['ancient'])} ELSE {quoted(prompt.GENRES['chinese'])} END AS genre, CASE WHEN a THEN {quoted(prompt.STYLES['ancient'])} ELSE {quoted(prompt.STYLES['other'])} END AS style FROM ({old})",
         "gray": gray_sql("SELECT img_id, y, x, CAST(v AS INTEGER) AS v FROM gray"),
         "contrast_lut": "SELECT CAST(i AS INTEGER) AS v, CAST(least(255, greatest(0, trunc(i::REAL * 1.4::REAL + 128::REAL * (1::REAL - 1.4::REAL)))) AS INTEGER) AS out FROM range(256) t(i)",
         "otsu": otsu + " SELECT img_id, CAST(threshold AS INTEGER) AS threshold FROM t",
@@ -370,9 +389,9 @@ def oracle_sql() -> dict[str, str]:
         "region_score": f"{region} SELECT img_id, total, bright, edges, contrasts, round({score}, 9) AS score FROM u",
         "region_argmax": f"{argmax} SELECT * FROM best",
         "region_weighted": f"{argmax} SELECT img_id % 7 AS video_id, {weighted}, max(confidence) AS confidence FROM best GROUP BY 1",
-        "has_subtitle": f"{region} SELECT img_id, {score} > 0.15 AS likely FROM u",
+        "has_subtitle": f"{candidates} SELECT img_id, score > 0.15 AS likely FROM u WHERE ord = 0",
         "coordinates": f"WITH {PIXELS_SQL} SELECT img_id, y, x, CAST(greatest(0, least(trunc(r / 0.5), 1280)) AS INTEGER) AS image_x, CAST(greatest(0, least(trunc((g - 60) / 0.5), 720)) AS INTEGER) AS image_y, CAST(trunc(r * 0.5) AS INTEGER) AS shown_x, CAST(60 + trunc(g * 0.5) AS INTEGER) AS shown_y, CAST(trunc(b * 0.5) AS INTEGER) AS shown_w, r >= 10 AND b >= 10 AS valid FROM pixels",
         "refine_timing": f"WITH {SUBS_SQL}, {FRAMES_SQL}, ft AS (SELECT video_id, ts_ms, text <> '' AS h FROM frames), a AS ({end_side.format('f.h', before('start_ms', 800), 's.start_ms + 400')}), b AS ({end_side.format('NOT f.h', before('end_ms', 400), 's.end_ms + 800')}) SELECT s.video_id, s.idx, coalesce(a.t, s.start_ms) AS start_ms, coalesce(b.t, s.end_ms) AS end_ms, s.text FROM subs s LEFT JOIN a USING (video_id, idx) LEFT JOIN b USING (video_id, idx)",
-        "optimal_fps": f"WITH {FRAMES_SQL}, f AS (SELECT video_id, text <> '' AS h, row_number() OVER (PARTITION BY video_id ORDER BY ts_ms) - 1 AS k, count(*) OVER (PARTITION BY video_id) AS n FROM frames), m AS (SELECT * FROM f WHERE k >= greatest(0, n // 2 - least(n, 100) // 2) AND k < greatest(0, n // 2 - least(n, 100) // 2) + least(n, 100)), g AS (SELECT video_id, h <> coalesce(lag(h) OVER (PARTITION BY video_id ORDER BY k), false) AS c FROM m), c AS (SELECT video_id, count(*) FILTER (c) AS changes FROM g GROUP BY video_id) SELECT video_id, changes, CASE WHEN changes > 25 THEN 6 WHEN changes > 15 THEN 4 ELSE 2 END AS fps FROM c",
+        "optimal_fps": f"WITH {FRAMES_SQL}, f AS (SELECT video_id, text <> '' AS h, row_number() OVER (PARTITION BY video_id ORDER BY ts_ms) - 1 AS k, count(*) OVER (PARTITION BY video_id) AS n FROM frames), m AS (SELECT * FROM f WHERE k >= greatest(0, n // 2 - least(n, 100) // 2) AND k < greatest(0, n // 2 - least(n, 100) // 2) + least(n, 100)), g AS (SELECT video_id, h <> coalesce(lag(h) OVER (PARTITION BY video_id ORDER BY k), false) AS c FROM m), c AS (SELECT video_id, count(*) FILTER (c) AS changes FROM g GROUP BY video_id) SELECT c_custkey AS video_id, changes, CASE WHEN changes IS NULL THEN 4 WHEN changes > 25 THEN 6 WHEN changes > 15 THEN 4 ELSE 2 END AS fps FROM customer LEFT JOIN c ON c.video_id = c_custkey",
     }
-    return out
+    return out | fold_sql.queries()

@@ -36,9 +36,11 @@ MODES = {0: "Auto", 1: "Otsu", 2: "Adaptive", 3: "ColorBased", 4: "Invert"}
 
 
 def language(index: int, tag: bool = False) -> str:
-    """The language of an index. One that isn't known is chi_sim by name and en-US by tag."""
+    """The language of an index. One that isn't known is chi_sim by name; a recogniser has no tag for it."""
     if index not in LANGUAGES:
-        return "en-US" if tag else "chi_sim"
+        if tag:
+            raise ValueError(f"there is no language {index}")
+        return "chi_sim"
     return LANGUAGES[index][tag]
 
 
