@@ -13,8 +13,8 @@ from dataclasses import dataclass
 import numpy as np
 
 HIDDEN = 16
-#: Lanes side by side, steps of a window: gradients go back so far, the state goes on. Tokens of a piece a text is learnt in.
-LANES, WINDOW, PIECE = 256, 32, 1024
+#: Lanes side by side, steps of a window: gradients go back so far, the state goes on.
+LANES, WINDOW = 256, 32
 RATE, SEED = 0.2, 5
 
 Params = dict[str, np.ndarray]
@@ -53,6 +53,11 @@ def fresh(layout: Layout, seed: int = SEED) -> Params:
     }
 
 
+def no_squares(p: Params) -> Params:
+    """Adagrad's sums before anything is learnt; rows of the word tables share one."""
+    return {k: np.full(v.shape if v.ndim == 1 or k in "GNC" else (len(v), 1), 1e-8, np.float32) for k, v in p.items()}
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     """In place."""
     np.multiply(x, 0.5, out=x)
@@ -62,26 +67,36 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def lanes(texts: list[np.ndarray], most: int = LANES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Texts laid end to end in lanes of nearly equal length, longest first: ids, text numbers and starts by (lane, step); lane lengths."""
-    order = sorted(range(len(texts)), key=lambda k: -len(texts[k]))
-    heap = [(0, j) for j in range(min(most, len(texts)))]
-    own: list[list[int]] = [[] for _ in heap]
-    for k in order:
-        n, j = heap[0]
-        own[j].append(k)
-        heapq.heapreplace(heap, (n + len(texts[k]), j))
-    own.sort(key=lambda ks: -sum(len(texts[k]) for k in ks))
-    lengths = np.array([sum(len(texts[k]) for k in ks) for ks in own])
-    ids = np.full((len(own), int(lengths.max())), -1, np.int32)
-    which, first = np.zeros(ids.shape, np.int32), np.zeros(ids.shape, bool)
-    for j, ks in enumerate(own):
-        at = 0
-        for k in ks:
-            to = at + len(texts[k])
-            ids[j, at:to], which[j, at:to], first[j, at] = texts[k], k, True
-            at = to
-    return ids, which, first, lengths
+class Lanes:
+    """Texts laid end to end in lanes of nearly equal length, the longest lane first. Flat, so a very long text costs its own length."""
+
+    def __init__(self, texts: list[np.ndarray], most: int = LANES):
+        order = sorted(range(len(texts)), key=lambda k: -len(texts[k]))
+        heap = [(0, j) for j in range(min(most, len(texts)))]
+        own: list[list[int]] = [[] for _ in heap]
+        for k in order:
+            n, j = heap[0]
+            own[j].append(k)
+            heapq.heapreplace(heap, (n + len(texts[k]), j))
+        own.sort(key=lambda ks: -sum(len(texts[k]) for k in ks))
+        self.lengths = np.array([sum(len(texts[k]) for k in ks) for ks in own])
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        laid = [k for ks in own for k in ks]
+        sizes = np.array([len(texts[k]) for k in laid])
+        self.ids = np.concatenate([texts[k] for k in laid])
+        self.which = np.repeat(np.array(laid, np.int32), sizes)
+        self.first = np.zeros(len(self.ids), bool)
+        self.first[np.cumsum(sizes) - sizes] = True
+
+    def windows(self, window: int):
+        """(lanes there, ids, text numbers, starts, which steps hold a token) by (step, lane), for one stretch after another."""
+        for at in range(0, int(self.lengths[0]), window):
+            n = int((self.lengths > at).sum())
+            left = self.lengths[:n] - at
+            steps = np.arange(min(window, int(left[0])))[:, None]
+            there = steps < left
+            place = self.starts[:n] + at + np.minimum(steps, left - 1)
+            yield n, self.ids[place], self.which[place], self.first[place], there
 
 
 def forward(p: Params, e: np.ndarray, keep: np.ndarray, state: np.ndarray, kept: list | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -184,33 +199,28 @@ def predict(p: Params, layout: Layout, state: np.ndarray, ids: np.ndarray, grad:
     return logp, up
 
 
-def windows(texts: list[np.ndarray], most: int, window: int):
-    """(lanes there, ids, text numbers, starts, which steps hold a token) by (step, lane), for one stretch of the lanes after another."""
-    ids, which, first, lengths = lanes(texts, most)
-    for at in range(0, ids.shape[1], window):
-        n = int((lengths > at).sum())
-        cut = slice(0, n), slice(at, at + window)
-        yield n, ids[cut].T, which[cut].T, first[cut].T, ids[cut].T >= 0
-
-
 class Learner:
-    """Adagrad over the windows of texts. Long texts are learnt in pieces; a piece's state is carried from window to window."""
+    """Adagrad over the windows of texts. Gradients go back within a window; a text's state goes on from its first token to its last."""
 
-    def __init__(self, p: Params, layout: Layout, rate: float = RATE):
+    def __init__(self, p: Params, layout: Layout, squares: Params | None = None, rate: float = RATE):
         self.p, self.layout, self.rate, self.tokens = {k: v.copy() for k, v in p.items()}, layout, rate, 0
-        self.squares = {k: np.full(v.shape if v.ndim == 1 or k in "GNC" else (len(v), 1), 1e-8, np.float32) for k, v in p.items()}
+        self.squares = {k: v.copy() for k, v in (squares or no_squares(p)).items()}
 
     def learn(self, texts: list[np.ndarray]) -> None:
-        pieces = [t[k : k + PIECE] for t in texts for k in range(0, len(t), PIECE)]
-        self.tokens += sum(map(len, pieces))
-        state = None
-        for n, ids, _, first, there in windows(pieces, LANES, WINDOW) if pieces else ():
+        if not texts:
+            return
+        laid, state, most = Lanes(texts), None, 0
+        self.tokens += len(laid.ids)
+        for n, ids, _, first, there in laid.windows(WINDOW):
             state = np.zeros((n, HIDDEN), np.float32) if state is None else state[:n]
-            state = self.step(ids, first, there, state)
+            # where long texts go on alone, a window counts by its tokens
+            tokens = int(there.sum())
+            most = max(most, tokens)
+            state = self.step(ids, first, there, state, tokens / most)
 
-    def step(self, ids: np.ndarray, first: np.ndarray, there: np.ndarray, state: np.ndarray) -> np.ndarray:
+    def step(self, ids: np.ndarray, first: np.ndarray, there: np.ndarray, state: np.ndarray, weight: float = 1.0) -> np.ndarray:
         p, grad, kept = self.p, {}, []
-        inputs = self.layout.inputs[np.maximum(ids, 0)]
+        inputs = self.layout.inputs[ids]
         keep = (~first)[:, :, None].astype(np.float32)
         out, last = forward(p, p["E"][inputs], keep, state, kept)
         if there.all():
@@ -220,6 +230,10 @@ class Learner:
             _, up = predict(p, self.layout, out[there], ids[there], grad)
             full = np.zeros_like(out)
             full[there] = up
+        if weight != 1:
+            full *= np.float32(weight)
+            for k in ("C", "c", "W", "w"):
+                grad[k] *= np.float32(weight)
         de = backward(p, full, out, keep, kept, grad)
         self.apply_rows("E", inputs.ravel(), de.reshape(-1, 3 * HIDDEN))
         for k in ("G", "N", "g", "C", "c"):
@@ -244,10 +258,12 @@ class Learner:
 def score(p: Params, layout: Layout, texts: list[np.ndarray]) -> np.ndarray:
     """Natural log p of every text, its state carried from its first token to its last."""
     out = np.zeros(len(texts))
+    if not texts:
+        return out
     state = None
-    for n, ids, which, first, there in windows(texts, LANES, 2 * WINDOW) if texts else ():
+    for n, ids, which, first, there in Lanes(texts).windows(2 * WINDOW):
         state = np.zeros((n, HIDDEN), np.float32) if state is None else state[:n]
-        states, state = forward(p, p["E"][layout.inputs[np.maximum(ids, 0)]], (~first)[:, :, None].astype(np.float32), state)
+        states, state = forward(p, p["E"][layout.inputs[ids]], (~first)[:, :, None].astype(np.float32), state)
         logp, _ = predict(p, layout, states[there], ids[there])
         out += np.bincount(which[there], weights=logp, minlength=len(texts))
     return out

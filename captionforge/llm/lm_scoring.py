@@ -2,8 +2,9 @@
 
 1. Counts: every task counts the words of its training texts, the counts are added up by word and written to the shared folder.
 2. The most frequent words, as many as FREQUENT at most, found by a histogram of counts (a few hundred rows), are broadcast.
-3. Learning: every task learns from all of its training texts, beginning with the same parameters; the parameters, of fixed
-   size, are then averaged by tokens in pieces, in groups of at most GROUP tasks and then over the groups.
+3. Learning: training texts are dealt by hash to shards of about SHARD tokens, and the shards to rounds. In a round every shard is
+   learnt from, beginning with the same parameters; these, of fixed size, are averaged by tokens in pieces, in a tree of groups of
+   GROUP, and the next round goes on from the mean. Splits of the input have no part in it, so scores don't depend on them.
 4. Scoring: every text is read once more. What is known of frequent words is added up where the text is read; its rarer words go
    to the counts in one join by word, and what they add comes back to the text in one sum. Words so rare cannot be skewed.
 """
@@ -27,8 +28,10 @@ from .common import cut, table
 FREQUENT, OWN, CLASSES = 65_536, 4096, 28
 #: Buckets of rarer words by their last bytes, on input and as rest classes.
 ENDINGS, RESTS, TAIL = 1024, 16, 3
-#: Tasks whose parameters are averaged at once; pieces that parameters are cut into; tokens that a worker turns over at once.
-GROUP, PIECES, LEARN, SCORE = 64, 16, 400_000, 1_500_000
+#: Rounds of learning and averaging; tokens of a shard; partitions that a round's shards are dealt to at most.
+ROUNDS, SHARD, PARTITIONS = 4, 2_000_000, 20_000
+#: Shards whose parameters are averaged at once; pieces that parameters are cut into; tokens that a worker turns over at once.
+GROUP, PIECES, LEARN, SCORE = 64, 16, 4_000_000, 1_500_000
 #: Words a worker counts before it hands them on.
 STORE = 400_000
 FOLDS, HELD = 5, 1
@@ -140,38 +143,50 @@ class Vocabulary:
         return out, [words[k] for k in np.flatnonzero(out > self.n_top)] if rare else []
 
 
-def learnt(named: DataFrame, vocabulary: Vocabulary) -> gru.Params:
-    """The parameters, learnt by each task from its training texts and averaged by tokens."""
-    spark = named.sparkSession
-    p = gru.fresh(vocabulary.layout)
-    names, sent = list(p), spark.sparkContext.broadcast((vocabulary, p))
+def mean(t: pa.Table, up: int) -> pa.Table:
+    """Of rows (at, piece, n, data) of one piece the mean by n, in the order of at; it goes on as number at // up."""
+    order = np.argsort(t["at"].to_numpy(), kind="stable")
+    n, data = t["n"].to_numpy(), t["data"].to_pylist()
+    total = sum(np.frombuffer(data[k], np.float32) * float(n[k]) for k in order) / n.sum()
+    return pa.table({"at": pa.array([t["at"][0].as_py() // up], pa.int64()), "piece": t["piece"][:1].combine_chunks(), "n": pa.array([n.sum()], pa.int64()), "data": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+
+
+def learnt_round(texts: DataFrame, shards: int, vocabulary: Vocabulary, p: gru.Params) -> gru.Params:
+    """Of rows (at, _h, _text) the texts of each number at are learnt from in the order of _h, beginning with p; the mean by tokens."""
+    names, sent = list(p), texts.sparkSession.sparkContext.broadcast((vocabulary, p))
+    dealt = texts.repartitionById(min(shards, PARTITIONS), F.col("at").cast("int") % min(shards, PARTITIONS)).sortWithinPartitions("at", "_h", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, p = sent.value
-        learner, texts, n = gru.Learner(p, vocabulary.layout), [], 0
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                texts.append(vocabulary.ids(text, rare=False)[0])
-                n += len(texts[-1])
-                if n >= LEARN:
-                    learner.learn(texts)
-                    texts, n = [], 0
-        learner.learn(texts)
-        if learner.tokens:
-            import pyspark
 
-            task = pyspark.TaskContext.get().partitionId() % (1 << 20) // GROUP
+        def out(at: int, learner: gru.Learner, held: list[np.ndarray]) -> pa.RecordBatch:
+            learner.learn(held)
             pieces = np.array_split(np.concatenate([learner.p[k].ravel() for k in names]), PIECES)
-            yield pa.RecordBatch.from_arrays([pa.array([task] * PIECES, pa.int64()), pa.array(range(PIECES), pa.int64()), pa.array([learner.tokens] * PIECES, pa.int64()), pa.array([x.astype(np.float32).tobytes() for x in pieces], pa.binary())], ["task", "piece", "n", "data"])
+            return pa.RecordBatch.from_arrays([pa.array([at] * PIECES, pa.int64()), pa.array(range(PIECES), pa.int64()), pa.array([learner.tokens] * PIECES, pa.int64()), pa.array([x.astype(np.float32).tobytes() for x in pieces], pa.binary())], ["at", "piece", "n", "data"])
 
-    def average(t: pa.Table) -> pa.Table:
-        total = sum(t["n"].to_pylist())
-        mean = sum(np.frombuffer(d, np.float32) * (n / total) for d, n in zip(t["data"].to_pylist(), t["n"].to_pylist(), strict=True))
-        return pa.table({"task": pa.array([t["task"][0].as_py()], pa.int64()), "piece": pa.array([t["piece"][0].as_py()], pa.int64()), "n": pa.array([total], pa.int64()), "data": pa.array([np.asarray(mean, np.float32).tobytes()], pa.binary())})
-
-    schema = "task long, piece long, n long, data binary"
-    each = named.filter(~F.col("held_out")).select("_text").mapInArrow(run, schema)
-    means = each.groupBy("task", "piece").applyInArrow(average, schema).groupBy("piece").applyInArrow(average, schema).orderBy("piece").collect()
+        now, learner, held, n = None, None, [], 0
+        for batch in batches:
+            for at, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if at != now:
+                    if learner:
+                        yield out(now, learner, held)
+                    now, learner, held, n = at, gru.Learner(p, vocabulary.layout), [], 0
+                held.append(vocabulary.ids(text, rare=False)[0])
+                n += len(held[-1])
+                if n >= LEARN:
+                    learner.learn(held)
+                    held, n = [], 0
+        if learner:
+            yield out(now, learner, held)
+
+    schema = "at long, piece long, n long, data binary"
+    each, groups = dealt.select("at", "_text").mapInArrow(run, schema), shards
+    while True:
+        each = each.groupBy(F.expr(f"at div {GROUP}"), "piece").applyInArrow(lambda t: mean(t, GROUP), schema)
+        groups = -(-groups // GROUP)
+        if groups == 1:
+            break
+    means = each.orderBy("piece").collect()
     if not means:
         return p
     flat, out, at = np.concatenate([np.frombuffer(r["data"], np.float32) for r in means]), {}, 0
@@ -181,6 +196,22 @@ def learnt(named: DataFrame, vocabulary: Vocabulary) -> gru.Params:
     return out
 
 
+def learnt(named: DataFrame, vocabulary: Vocabulary, tokens: int, shard: int = SHARD, rounds: int = ROUNDS) -> gru.Params:
+    """The parameters, learnt from all training texts in rounds; each goes on from the mean of the one before.
+
+    A text's shard, and with it its round and its place there, follow from its id and text and the number of tokens alone: how rows
+    are split makes no difference. A shard has about `shard` tokens.
+    """
+    each = max(1, -(-tokens // (rounds * shard)))
+    hashed = named.filter(~F.col("held_out")).withColumn("_h", F.xxhash64("doc_id", "_text"))
+    placed = hashed.select(F.pmod("_h", F.lit(rounds * each)).alias("_shard"), "_h", "_text")
+    p = gru.fresh(vocabulary.layout)
+    for r in range(rounds):
+        own = placed.filter(F.col("_shard") % rounds == r).select(F.expr(f"_shard div {rounds}").alias("at"), "_h", "_text")
+        p = learnt_round(own, each, vocabulary, p)
+    return p
+
+
 def scored(named: DataFrame, vocabulary: Vocabulary, p: gru.Params) -> DataFrame:
     """Per text what its frequent words, and the classes of all, add to either score; and its rarer words."""
     sent = named.sparkSession.sparkContext.broadcast((vocabulary, p))
@@ -213,13 +244,13 @@ def scored(named: DataFrame, vocabulary: Vocabulary, p: gru.Params) -> DataFrame
     return named.select("doc_id", "held_out", "_text").mapInArrow(run, schema)
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_frequent: int = FREQUENT, own: int = OWN) -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_frequent: int = FREQUENT, own: int = OWN, shard: int = SHARD) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (both log10) for each row of docs.
 
     Null counts as empty; such a text is scored for its end alone. A null id counts as empty in the choice of the fold. Rows are
     scored one by one, so repeated rows have one score, and each counts in training. Without training rows every count is zero and
     the model is as it begins. Words that tie in count are ordered by code point. Without rows the result is empty. Other
-    columns are ignored.
+    columns are ignored. Scores are the same, up to rounding, however rows are stored and split.
     """
     spark = docs.sparkSession
     named = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
@@ -229,7 +260,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     last = F.crc32(F.expr(f"substring(cast(word as binary), -{TAIL}, {TAIL})")) % ENDINGS % RESTS
     mass = {r[0]: float(r[1]) for r in known.filter("word is not null").groupBy(last.alias("c")).agg(F.sum(F.col("n") + 0.5)).collect()}
     vocabulary = Vocabulary(frequent(known, most_frequent), ends, mass, own)
-    p = learnt(named, vocabulary)
+    p = learnt(named, vocabulary, total, shard)
     rows = cut(scored(named, vocabulary, p).withColumn("_row", F.monotonically_increasing_id()))
 
     others = rows.select("_row", F.explode("rare").alias("r")).select("_row", F.col("r.word").alias("word"), F.col("r.n").alias("_k"))

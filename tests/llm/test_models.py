@@ -154,6 +154,23 @@ def test_lm_base_and_gain(spark, lm_docs):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_lm_scores_do_not_depend_on_partitions(spark, lm_docs):
+    df = docs_of(spark, lm_docs)
+    at = lambda n: sorted((str(r["doc_id"]), r["n_tokens"], r["score"]) for r in lm_scoring.lm_scores(df.repartition(n), most_frequent=500, own=200, shard=8000).collect())
+    first = at(1)
+    for n in (8, 64):
+        for a, b in zip(first, at(n), strict=True):
+            assert a[:2] == b[:2] and abs(a[2] - b[2]) <= 1e-5 * abs(a[2]) + 1e-6
+
+
+def test_means_in_a_tree(spark):
+    import pyarrow as pa
+
+    t = pa.table({"at": [5, 3], "piece": [0, 0], "n": [3, 1], "data": pa.array([np.float32([1, 2]).tobytes(), np.float32([5, 6]).tobytes()], pa.binary())})
+    (r,) = lm_scoring.mean(t, 64).to_pylist()
+    assert (r["at"], r["piece"], r["n"]) == (0, 0, 4) and np.frombuffer(r["data"], np.float32).tolist() == [2, 3]
+
+
 def test_lm_edges(spark):
     assert lm_scoring.lm_scores(docs_of(spark, [])).collect() == []
     only_held = next(i for i in range(99) if is_held(i))
@@ -187,6 +204,13 @@ def test_lm_sums_to_one_and_carries_its_state():
     unknown = [np.array([voc.n_top + 1 + next(b for b in range(lm_scoring.ENDINGS) if b % lm_scoring.RESTS == k)], np.int32) for k in range(lm_scoring.RESTS)]
     total += sum(0.5 * math.exp(gru.score(learner.p, voc.layout, [np.concatenate([start, o])])[0] - base) for o in unknown)
     assert abs(total - 1) < 1e-3
+    # learning carries it as well: a text a window long is learnt otherwise than its halves
+    whole = [np.concatenate([texts[0][:-1]] * 20)]
+    halves = [h for t in whole for h in np.array_split(t, 2)]
+    a, b = (gru.Learner(learner.p, voc.layout) for _ in range(2))
+    a.learn(whole)
+    b.learn(halves)
+    assert not np.allclose(a.p["N"], b.p["N"])
     # one step at a time, without lanes or windows
     long = np.concatenate([texts[0][:-1]] * 40 + [np.zeros(1, np.int32)])
     state, by_hand = np.zeros((1, gru.HIDDEN), np.float32), 0.0
