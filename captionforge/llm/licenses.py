@@ -6,33 +6,39 @@ probabilities by a temperature fitted on held-out paragraphs, and a paragraph is
 probability is below a threshold that the same held-out paragraphs set. What the classifier names is then compared with the
 family's templates: the share of a template's word 3-grams that the paragraph has must reach `CONFIRM`.
 
-The fitted table has at most FEATURES rows whatever the input, so it is broadcast: the n-grams of the paragraphs meet it without
-an exchange, and only n-grams that are in it go on to be summed per paragraph.
+A paragraph is a run of lines between blank ones, whatever its wraps, and every line of it is looked at by itself as well, since a
+notice may be one line of a longer text. The fitted table has at most FEATURES rows whatever the input, so it is broadcast: n-grams meet
+it without an exchange, and only the numbers of those found go on, together with the lines they begin and end in.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import random
+import re
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, lower_ascii, table, words
+from .common import lower_ascii, table, words
 from .licence_texts import PROSE, TEMPLATES
 
 #: Rows of the fitted table at most; n-gram lengths; share of a template that confirms a prediction.
 FEATURES, GRAMS, CONFIRM = 4096, (1, 2, 3), 0.6
 UNKNOWN = "unknown"
 MARKS = ".,;:()[]\"'*#/<>!"
+#: What begins a line of a comment, a list or a table.
+LEADING = r"^[\x20\x09-\x0D\-%|+=~;#*/]+"
 #: Training paragraphs made per family and of no family, share held out, passes.
 MADE, NONE, HELD, STEPS, SEED = 60, 400, 0.25, 300, 7
 
 
 def tokens(text: str) -> list[str]:
     """Words in lower case (A-Z), with punctuation taken for white space."""
-    return [w.decode() for w in text.translate(str.maketrans(MARKS, " " * len(MARKS))).encode().lower().split()]
+    bare = "\n".join(re.sub(LEADING, "", x) for x in text.split("\n"))
+    return [w.decode() for w in bare.translate(str.maketrans(MARKS, " " * len(MARKS))).encode().lower().split()]
 
 
 def grams(text: str) -> set[str]:
@@ -59,11 +65,11 @@ def made(seed: int = SEED) -> tuple[list[str], list[str]]:
     for family, templates in sorted(TEMPLATES.items()):
         for _ in range(MADE):
             w = [x if rnd.random() > 0.04 else rnd.choice(prose) for x in rnd.choice(templates).split() if rnd.random() > 0.03]
-            texts.append(" ".join(filler(rnd.choice([0, 0, 0, 4, 12])) + w + filler(rnd.choice([0, 0, 6, 20]))))
+            texts.append(" ".join(filler(rnd.choice([0, 0, 0, 4, 12, 80])) + w + filler(rnd.choice([0, 0, 6, 20, 120]))))
             labels.append(family)
     for _ in range(NONE):
         # no family: prose, and licence words out of their order
-        w = filler(rnd.randint(5, 60))
+        w = filler(rnd.choice([5, 15, 30, 60, 150, 300]))
         for _ in range(rnd.choice([0, 0, 1, 2, 3])):
             w[rnd.randrange(len(w))] = rnd.choice(rnd.choice(TEMPLATES[rnd.choice(sorted(TEMPLATES))]).split())
         texts.append(" ".join(w))
@@ -117,43 +123,68 @@ def fitted() -> dict:
     return {"classes": classes, "weights": {g: w[i] for g, i in at.items()}, "bias": b, "temperature": float(temperature), "threshold": float(threshold), "accuracy": float(right(threshold))}
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per licence found: doc_id, paragraph (number of the line, from 0), family, probability, template, overlap, confirmed.
+def array_of(values: list, kind: str) -> Column:
+    """A literal array of fixed values: it is made once, when the query is planned."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
 
-    A paragraph is a line of the text. Rows are the paragraphs that the classifier finds licence-like (a family is more probable
-    than none); family is unknown where the best one's probability is below the calibrated threshold. Null and empty texts have
-    no row, and a very long line is one paragraph. Repeated rows are scanned each; ties between families go to the first by
-    name. Null ids stay null. Without rows the result is empty. Other columns are ignored.
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per licence found: doc_id, paragraph, last_line, family, probability, template, overlap, confirmed.
+
+    paragraph and last_line are the numbers, from 0, of the first and last line (cut at \\n) of what was found: a line, or a paragraph of
+    several lines. Rows are what the classifier finds licence-like (a family is more probable than none); family is unknown where the
+    best one's probability is below the calibrated threshold. A paragraph is given where it is confirmed and none of its lines is for
+    that family, and then stands for its lines that aren't confirmed; else its lines are. Marks that begin a line (of comments, lists,
+    tables) are no part of it. Null and empty texts have no row, and a very long line is one paragraph. Repeated rows are scanned
+    each; ties between families go to the first by name, ties between templates to the first. Null ids stay null. Without rows the
+    result is empty. Other columns are ignored.
     """
     spark, model = docs.sparkSession, fitted()
-    classes = model["classes"]
-    weights = spark.createDataFrame([(g, *map(float, w)) for g, w in sorted(model["weights"].items())], "gram string, " + ", ".join(f"w{k} double" for k in range(len(classes))))
-    templates = [(f, [(k, shingles(t)) for k, t in enumerate(ts)]) for f, ts in sorted(TEMPLATES.items())]
-    templates = spark.createDataFrame(templates, "_family string, _templates array<struct<template: int, grams: array<string>>>")
-
-    text = F.translate(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))), MARKS, " " * len(MARKS))
-    lines = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("_row"), F.posexplode(F.split(text, "\n")).alias("paragraph", "_line"))
-    run = lambda w, n: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.concat_ws(" ", *[F.get(w, i + k) for k in range(n)])))
-    gram = lambda w: F.concat(w, *[F.coalesce(run(w, n), F.array().cast("array<string>")) for n in GRAMS if n > 1])
-    key = ["_row", "doc_id", "paragraph"]
-    exploded = lines.select(*key, F.explode(let(words(F.col("_line")), gram)).alias("gram"))
-    # a gram counts once a paragraph, and few are left to make distinct after the join
-    met = exploded.join(F.broadcast(weights), "gram").distinct()
-    scored = met.groupBy(*key).agg(*[F.sum(f"w{k}").alias(f"z{k}") for k in range(len(classes))], F.collect_set("gram").alias("_hits"))
-    # one step at a time: each is named more than once by the next
-    z = [(F.col(f"z{k}") + F.lit(float(model["bias"][k]))) / model["temperature"] for k in range(len(classes))]
-    found = scored.select(*key, "_hits", F.array(*z).alias("_z")).withColumn("_top", F.array_max("_z"))
-    found = found.withColumn("_e", F.transform("_z", lambda x: F.exp(x - F.col("_top"))))
-    found = found.withColumn("_sum", F.aggregate("_e", F.lit(0.0), lambda a, x: a + x)).withColumn("_best", F.array_max(F.slice("_e", 1, len(classes) - 1)))
-    found = found.filter(F.col("_best") > F.element_at("_e", -1))
-    family = F.element_at(F.array(*map(F.lit, classes)), F.array_position("_e", F.col("_best")).cast("int"))
-    found = found.select(*key, "_hits", family.alias("_family"), (F.col("_best") / F.col("_sum")).alias("probability"))
-
-    part = lambda t: F.struct((-F.size(F.array_intersect(t["grams"], F.col("_hits"))) / F.size(t["grams"])).alias("s"), t["template"].alias("k"))
-    held = found.join(F.broadcast(templates), "_family").withColumn("_at", F.array_min(F.transform("_templates", part)))
-    named = F.when(F.col("probability") >= model["threshold"], F.col("_family")).otherwise(F.lit(UNKNOWN))
-    out = held.select("doc_id", "paragraph", named.alias("family"), "probability", F.concat_ws("/", "_family", F.col("_at.k").cast("string")).alias("template"), (-F.col("_at.s")).alias("overlap"))
-    return out.withColumn("confirmed", (F.col("family") != UNKNOWN) & (F.col("overlap") >= CONFIRM))
+    classes, names = model["classes"], sorted(model["weights"])
+    number = {g: k for k, g in enumerate(names)}
+    features = spark.createDataFrame([(g, k) for g, k in number.items()], "gram string, k int")
+
+    # words with the lines they are in, and the number of blank lines before
+    text = lower_ascii(F.coalesce(F.col(text_col), F.lit("")))
+    bare = lambda x: words(F.translate(F.regexp_replace(x, LEADING, ""), MARKS, " " * len(MARKS)))
+    numbered = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("i"), x.rlike(r"^[\x20\x09-\x0D]*$").cast("int").alias("blank"), bare(x).alias("w")))
+    named = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("_row"), numbered.alias("lines"))
+    spread = F.flatten(F.transform("lines", lambda x: F.transform(x["w"], lambda w: F.struct(w.alias("w"), x["i"].alias("i")))))
+    named = named.select("doc_id", "_row", spread.alias("t"), F.filter(F.transform("lines", lambda x: F.when(x["blank"] == 1, x["i"])), lambda x: x.isNotNull()).alias("blanks"))
+    run = lambda n: F.when(F.size("t") >= n, F.transform(F.sequence(F.lit(0), F.size("t") - n), lambda i: F.struct(F.concat_ws(" ", *[F.get("t", i + k)["w"] for k in range(n)]).alias("gram"), F.get("t", i)["i"].alias("a"), F.get("t", i + n - 1)["i"].alias("b"))))
+    none = F.array().cast("array<struct<gram: string, a: int, b: int>>")
+    grams = named.select("doc_id", "_row", "blanks", F.explode(F.concat(*[F.coalesce(run(n), none) for n in GRAMS])).alias("g")).select("doc_id", "_row", "blanks", "g.*")
+    # few n-grams are left, so what a blank line parts is told of these only
+    met = grams.join(F.broadcast(features), "gram").select("doc_id", "_row", "a", "b", "k", F.size(F.filter("blanks", lambda x: x < F.col("a"))).alias("run"), F.size(F.filter("blanks", lambda x: x < F.col("b"))).alias("_end"))
+    per = met.filter("run = _end").groupBy("_row", "doc_id", "run").agg(F.collect_set(F.struct("a", "b", "k")).alias("hits"))
+
+    # every line that has an n-gram for itself, and the lines from the first to the last together
+    own = F.filter("hits", lambda h: h["a"] == h["b"])
+    ends = F.struct(F.array_min(F.transform("hits", lambda h: h["a"])).alias("a"), F.array_max(F.transform("hits", lambda h: h["b"])).alias("b"))
+    lines = F.transform(F.array_distinct(F.transform(own, lambda h: h["a"])), lambda a: F.struct(a.alias("a"), a.alias("b")))
+    spans = F.concat(lines, F.filter(F.array(ends), lambda e: e["a"] < e["b"]))
+    within = lambda e: F.array_sort(F.array_distinct(F.transform(F.filter("hits", lambda h: (h["a"] >= e["a"]) & (h["b"] <= e["b"])), lambda h: h["k"])))
+    units = F.transform(spans, lambda e: F.struct(e["a"].alias("a"), e["b"].alias("b"), within(e).alias("ks")))
+    weights = array_of([list(map(float, model["weights"][g])) for g in names], "array<array<double>>")
+    bias = array_of(list(map(float, model["bias"])), "array<double>")
+    z = lambda u: F.transform(F.aggregate(u["ks"], F.col("bias"), lambda acc, k: F.zip_with(acc, F.get(F.col("weights"), k), lambda x, y: x + y)), lambda x: x / model["temperature"])
+    scored = per.withColumns({"weights": weights, "bias": bias}).withColumn("u", F.transform(units, lambda u: F.struct(u["a"].alias("a"), u["b"].alias("b"), u["ks"].alias("ks"), z(u).alias("z"))))
+    likely = F.filter("u", lambda u: F.array_max(F.slice(u["z"], 1, len(classes) - 1)) > F.element_at(u["z"], -1))
+    likely = scored.select("_row", "doc_id", "run", likely.alias("u")).filter(F.size("u") > 0)
+
+    templates = array_of([[[number[g] for g in shingles(t)] for t in TEMPLATES[f]] for f in classes[:-1]], "array<array<array<int>>>")
+    best = lambda u: F.array_position(u["z"], F.array_max(F.slice(u["z"], 1, len(classes) - 1))).cast("int")
+    odds = lambda u: F.aggregate(u["z"], F.lit(0.0), lambda acc, x: acc + F.exp(x - F.element_at(u["z"], best(u))))
+    share = lambda u: F.array_min(F.transform(F.element_at(F.col("templates"), best(u)), lambda t, i: F.struct((-F.size(F.array_intersect(t, u["ks"])) / F.size(t)).alias("s"), i.alias("i"))))
+    held = likely.withColumn("templates", templates).withColumn("u", F.transform("u", lambda u: F.struct(u["a"].alias("a"), u["b"].alias("b"), best(u).alias("f"), (1 / odds(u)).alias("p"), share(u).alias("s"))))
+    sure = lambda u: (u["p"] >= model["threshold"]) & (u["s"]["s"] <= -CONFIRM)
+    whole = F.filter("u", lambda u: (u["a"] < u["b"]) & sure(u))
+    other = lambda w: ~F.exists(F.col("u"), lambda u: (u["a"] == u["b"]) & sure(u) & (u["f"] == w["f"]))
+    given = held.withColumn("whole", F.filter(whole, other)).withColumn("u", F.filter("u", lambda u: (u["a"] == u["b"]) & (sure(u) | (F.size("whole") == 0))))
+    rows = given.select("doc_id", F.explode(F.concat("u", "whole")).alias("u"))
+    family = F.element_at(F.array(*map(F.lit, classes)), F.col("u.f"))
+    named = F.when(F.col("u.p") >= model["threshold"], family).otherwise(F.lit(UNKNOWN))
+    return rows.select("doc_id", F.col("u.a").alias("paragraph"), F.col("u.b").alias("last_line"), named.alias("family"), F.col("u.p").alias("probability"), F.concat_ws("/", family, F.col("u.s.i").cast("string")).alias("template"), (-F.col("u.s.s")).alias("overlap"), sure(F.col("u")).alias("confirmed"))
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
