@@ -16,6 +16,7 @@ STORE = 200_000
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+(?:>|\Z))|<[!?/][^>]*+(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden|aria-label|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+OTHER = re.compile(r"\D+")
 NAMES = re.compile(r"[a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content isn't text of the page; of the first, it isn't even markup.
@@ -86,12 +87,15 @@ def blocks(page: str) -> list[tuple[str, Block]]:
     stack: list[Element] = []
     root = Element("#", (), None)
     now: Block | None = None
+    #: where the head is on the stack, while it is open
+    head: int | None = None
     at, end = 0, len(page)
 
     def close() -> None:
         nonlocal now
         if now is not None:
             text = " ".join(html.unescape("".join(now.parts)).split())
+            now.parts = []
             if text:
                 out.append((text, now))
             now = None
@@ -112,7 +116,10 @@ def blocks(page: str) -> list[tuple[str, Block]]:
             now.linked += len(text)
 
     def pop_to(k: int) -> None:
+        nonlocal head
         del stack[k:]
+        if head is not None and head >= k:
+            head = None
 
     while at < end:
         m = TAG.search(page, at)
@@ -141,8 +148,8 @@ def blocks(page: str) -> list[tuple[str, Block]]:
                     break
             continue
         rest = m["rest"]
-        if name not in NOT_HEAD and any(e.name == "head" for e in stack[:3]):
-            pop_to(next(k for k, e in enumerate(stack) if e.name == "head"))
+        if head is not None and name not in NOT_HEAD:
+            pop_to(head)
         if block:
             if name in ENDS:
                 which, fences = ENDS[name]
@@ -163,6 +170,8 @@ def blocks(page: str) -> list[tuple[str, Block]]:
         if name in VOID or rest.endswith("/>"):
             continue
         stack.append(Element(name, tokens(name, rest), stack[-1] if stack else root))
+        if name == "head" and head is None:
+            head = len(stack) - 1
         if name in RAW:
             found = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
             at = found.start() if found else end
@@ -190,7 +199,7 @@ def features(found: list[tuple[str, Block]], first: int = 0, of: int | None = No
             min(1.0, block.linked / max(len(text), 1)),
             min(1.0, 8 * stops / max(len(w), 1)),
             text[-1:] in ".!?…。:",
-            sum(map(str.isdigit, text[:400])) / min(max(len(text), 1), 400),
+            len(OTHER.sub("", text)) / max(len(text), 1),
             block.tag[:1] == "h" and block.tag[1:].isdigit(),
             block.tag == "li",
             block.tag == "p",

@@ -49,20 +49,27 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def lstm(e: np.ndarray, there: np.ndarray, w: Weights, d: str) -> tuple[np.ndarray, list]:
-    """States (time, page, HIDDEN) of one direction over e (time, page, INNER); there: 1 where a page has a block."""
+def lstm(e: np.ndarray, there: np.ndarray, w: Weights, d: str, learning: bool = True) -> tuple[np.ndarray, list]:
+    """States (time, page, HIDDEN) of one direction over e (time, page, INNER); there: 1 where a page has a block.
+
+    Only learning asks for what every step had; without it a long page costs its states and no more.
+    """
     steps, n, h = e.shape[0], e.shape[1], HIDDEN
-    z = e @ w[f"W{d}"] + w[f"b{d}"]
-    state, cell = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)
-    out, kept = np.zeros((steps, n, h), np.float32), [None] * steps
+    state, cell = np.zeros((n, h), e.dtype), np.zeros((n, h), e.dtype)
+    out, kept = np.zeros((steps, n, h), np.float32), [None] * (steps if learning else 0)
+    first = None
     for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-        g = z[t] + state @ w[f"U{d}"]
+        if t // SLICE != first:
+            first = t // SLICE
+            z = e[first * SLICE : (first + 1) * SLICE] @ w[f"W{d}"] + w[f"b{d}"]
+        g = z[t - first * SLICE] + state @ w[f"U{d}"]
         gates, new = sigmoid(g[:, : 3 * h]), np.tanh(g[:, 3 * h :])
         i, f, o = gates[:, :h], gates[:, h : 2 * h], gates[:, 2 * h :]
         m = there[t][:, None]
         c = (f * cell + i * new) * m
         tc = np.tanh(c)
-        kept[t] = (state, cell, gates, new, tc, m)
+        if learning:
+            kept[t] = (state, cell, gates, new, tc, m)
         cell, state = c, o * tc * m
         out[t] = state
     return out, kept
@@ -105,8 +112,11 @@ def padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def read(e: np.ndarray, there: np.ndarray, w: Weights) -> np.ndarray:
     """How likely each block is part of the article, as a logit."""
-    both = [lstm(e, there, w, d)[0] for d in "fb"] + [e]
-    return np.concatenate(both, axis=2) @ w["O"] + w["o"]
+    h, o = HIDDEN, w["O"]
+    z = e @ o[2 * h :] + w["o"]
+    for d, part in (("f", o[:h]), ("b", o[h : 2 * h])):
+        z += lstm(e, there, w, d, learning=False)[0] @ part
+    return z
 
 
 @functools.lru_cache(maxsize=1)
