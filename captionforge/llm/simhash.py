@@ -9,6 +9,10 @@ Equal fingerprints are one before anything is paired. A bucket of at most `most`
 larger buckets are linked another exact way, without pairs: each goes to all points within 2 bits, and a point that has one
 within 1 bit ties all others there to it (1 + 2 bits are 3 at most; of a linked pair, some point is within 1 of one and 2 of
 the other). That is 2081 rows a fingerprint, however large its bucket.
+
+near_duplicates has one fingerprint a text. keep_near, which is to catch texts that share most of their five-word shingles, takes
+several, each with random bits of its own, over shorter shingles, of which an edit touches fewer: texts within the radius by any of them
+are linked. Every fingerprint has covering tables of its own, so no such link is lost either.
 """
 
 from __future__ import annotations
@@ -28,6 +32,10 @@ from .components import stars
 RADIUS, SEED, SHINGLE, BITS = 3, 42, 3, 64
 #: Rows a worker turns over at once, and fingerprints of the largest bucket that is joined with itself.
 ROWS, MOST = 500, 64
+#: Shingles whose bits are counted at once.
+TURN = 20_000
+#: Words of a shingle and fingerprints of a text, where near copies are to be caught.
+NEAR_SHINGLE, PRINTS = 2, 8
 
 
 def masks() -> list[int]:
@@ -37,20 +45,41 @@ def masks() -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in out]
 
 
-def fingerprint(text: str) -> int:
-    """A bit is set if it is in over half the shingles' hashes; without words none is."""
+def hashes(text: str, shingle: int) -> np.ndarray | None:
+    """XXH64 of the text's shingles, repeats included; of a shorter text the whole; None without words."""
     w = text.encode().lower().split()
     if not w:
-        return 0
+        return None
     h = xxhash.xxh64_intdigest
-    hashes = [h(b" ".join(t), SEED) for t in zip(w, w[1:], w[2:], strict=False)] if len(w) >= SHINGLE else [h(b" ".join(w), SEED)]
-    bits = np.unpackbits(np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    counts = bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+    every = zip(*(w[k:] for k in range(shingle)), strict=False) if len(w) >= shingle else [w]
+    return np.array([h(b" ".join(t), SEED) for t in every], dtype="<u8")
+
 
+def mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """Other random bits for the same hashes, the k-th (splitmix64's finish); those of 0 are the hashes."""
+    if k == 0:
+        return h
+    z = h + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
 
-def fingerprints(named: DataFrame) -> DataFrame:
-    """named with _fp, the fingerprint as a signed 64-bit integer, in place of its last column, the text (null for empty)."""
+
+def fingerprint(text: str, shingle: int = SHINGLE, prints: int = 1) -> list[int]:
+    """A bit is set if it is in over half the shingles' hashes; without words none is."""
+    h = hashes(text, shingle)
+    if h is None:
+        return [0] * prints
+    counts = np.zeros(prints * BITS, np.int64)
+    for at in range(0, len(h), TURN):
+        part = np.stack([mixed(h[at : at + TURN], k) for k in range(prints)], axis=1)
+        bits = np.unpackbits(part.astype("<u8").view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little")
+        counts += bits.sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(h), bitorder="little").view("<u8").tolist()
+
+
+def fingerprints(named: DataFrame, shingle: int = SHINGLE, prints: int = 1) -> DataFrame:
+    """named with _fps, the fingerprints as signed 64-bit integers, in place of its last column, the text (null for empty)."""
     others = named.columns[:-1]
     whole = named.withColumn(named.columns[-1], F.coalesce(F.col(named.columns[-1]), F.lit("")))
 
@@ -58,40 +87,50 @@ def fingerprints(named: DataFrame) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
-                found = np.array([fingerprint(t) for t in batch.columns[-1].to_pylist()], dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.int64())], [*others, "_fp"])
+                found = np.array([fingerprint(t, shingle, prints) for t in batch.columns[-1].to_pylist()], dtype=np.uint64).view(np.int64)
+                fps = pa.ListArray.from_arrays(pa.array(range(0, found.size + 1, prints), pa.int32()), pa.array(found.ravel(), pa.int64()))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], fps], [*others, "_fps"])
 
-    return whole.mapInArrow(run, T.StructType([*(named.schema[c] for c in others), T.StructField("_fp", T.LongType())]))
+    return whole.mapInArrow(run, T.StructType([*(named.schema[c] for c in others), T.StructField("_fps", T.ArrayType(T.LongType()))]))
 
 
 def links(distinct: DataFrame, most: int = MOST) -> DataFrame:
-    """(a, b): edges between distinct fingerprints (column _fp) that tie together exactly what lies within the radius."""
+    """(a, b): edges that tie together exactly what lies within the radius.
+
+    distinct has the fingerprints (_k, _fp), _k telling one kind from another, and the node _m that each stands for; edges are of nodes.
+    """
     tables = F.array(*[F.struct(F.lit(n).alias("v"), F.lit(m).alias("m")) for n, m in enumerate(masks())])
-    dealt = distinct.select("_fp", F.explode(tables).alias("t")).select("_fp", F.col("t.v").alias("v"), F.col("_fp").bitwiseAND(F.col("t.m")).alias("key"))
+    dealt = distinct.select("_k", "_fp", "_m", F.explode(tables).alias("t")).select("_fp", "_m", (F.col("_k") * len(masks()) + F.col("t.v")).alias("v"), F.col("_fp").bitwiseAND(F.col("t.m")).alias("key"))
     shared = cut(dealt.groupBy("v", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     met = cut(dealt.join(shared, ["v", "key"]))
-    few = met.filter(F.col("n") <= most).select("v", "key", "_fp")
+    few = met.filter(F.col("n") <= most).select("v", "key", "_fp", "_m")
     pairs = (
-        few.withColumnRenamed("_fp", "a")
-        .join(few.withColumnRenamed("_fp", "b"), ["v", "key"])
-        .filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS))
+        few.withColumnsRenamed({"_fp": "x", "_m": "a"})
+        .join(few.withColumnsRenamed({"_fp": "y", "_m": "b"}), ["v", "key"])
+        .filter((F.col("x") < F.col("y")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= RADIUS))
         .select("a", "b")
         .distinct()
     )
-    many = met.filter(F.col("n") > most).select("_fp").distinct()
+    many = met.filter(F.col("n") > most).select(F.expr(f"v div {len(masks())}").alias("_k"), "_fp", "_m").distinct()
     # bits 0 to 63; 64 stands for none, so (64, 64) is the fingerprint itself and (i, 64) one bit away
     flip = lambda c: F.when(F.col(c) < 64, F.expr(f"shiftleft(1L, {c})")).otherwise(F.lit(0).cast("long"))
     ball = many.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(64)))).withColumn("j", F.explode(F.expr("if(i = 64, array(64), sequence(i + 1, 64))")))
-    ball = ball.select("_fp", F.col("_fp").bitwiseXOR(flip("i")).bitwiseXOR(flip("j")).alias("z"), (F.col("j") == 64).alias("near"))
-    centre = ball.groupBy("z").agg(F.min(F.when(F.col("near"), F.col("_fp"))).alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1 and b is not null")
-    tied = ball.join(centre, "z").filter("_fp <> b").select(F.col("_fp").alias("a"), "b").distinct()
+    ball = ball.select("_k", "_m", F.col("_fp").bitwiseXOR(flip("i")).bitwiseXOR(flip("j")).alias("z"), (F.col("j") == 64).alias("near"))
+    centre = ball.groupBy("_k", "z").agg(F.min(F.when(F.col("near"), F.col("_m"))).alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1 and b is not null")
+    tied = ball.join(centre, ["_k", "z"]).filter("_m <> b").select(F.col("_m").alias("a"), "b").distinct()
     return pairs.unionByName(tied)
 
 
 def components(found: DataFrame, best: str, most: int) -> DataFrame:
-    """(_fp, _least): for each fingerprint of found (columns `best` and _fp) the least `best` of its component."""
-    reps = cut(found.groupBy("_fp").agg(F.min(best).alias("_rep")))
-    roots = stars(links(reps.select("_fp"), most))
+    """(_fp, _least): for each first fingerprint of found (columns `best` and _fps) the least `best` of its component.
+
+    Texts that have any fingerprint in common are one component to begin with, which goes by the least first fingerprint.
+    """
+    reps = cut(found.groupBy(F.get("_fps", F.lit(0)).alias("_fp")).agg(F.min(best).alias("_rep")))
+    kinds = found.select("_fps").distinct().select(F.get("_fps", F.lit(0)).alias("_first"), F.posexplode("_fps").alias("_k", "_fp"))
+    nodes = cut(kinds.groupBy("_k", "_fp").agg(F.min("_first").alias("_m"), F.max("_first").alias("_n")))
+    common = kinds.join(nodes.filter("_m <> _n").drop("_n"), ["_k", "_fp"]).filter("_first <> _m").select(F.col("_first").alias("a"), F.col("_m").alias("b"))
+    roots = stars(links(nodes.drop("_n"), most).unionByName(common))
     rooted = reps.join(roots, reps["_fp"] == roots["node"], "left").select("_fp", "_rep", F.coalesce("root", "_fp").alias("_root"))
     least = rooted.groupBy("_root").agg(F.min("_rep").alias("_least"))
     return rooted.join(least, "_root").select("_fp", "_least")
@@ -106,18 +145,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     found = cut(fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))))
     named = components(found, "doc_id", most)
-    return found.join(named, "_fp").select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), F.col("_least").alias("component_id"))
+    return found.withColumn("_fp", F.get("_fps", F.lit(0))).join(named, "_fp").select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), F.col("_least").alias("component_id"))
 
 
-def keep_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
+def keep_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR_SHINGLE, prints: int = PRINTS, most: int = MOST) -> DataFrame:
     """One row of each component, with the columns it came with.
 
-    Fingerprints, links and components are near_duplicates'. Of a component the row with the least id stays; one of a null id stays
+    A text has `prints` fingerprints over shingles of `shingle` words, and is linked with those within the radius by any of them. With 3
+    and 1 links and components are near_duplicates'; null texts are empty, and texts without words are linked like any other. Of a component the row with the least id stays; one of a null id stays
     only if all ids are null. Rows are told apart by where they are read (common.keyed), so of rows that tie in id, repeated rows and
     rows of null ids too, exactly one stays. Columns of any name pass through; no rows give none.
     """
     rows = keyed(docs)
-    found = cut(fingerprints(rows.select(F.struct(F.col("row")[id_col].isNull().alias("null"), F.col("row")[id_col].alias("id"), "key").alias("_best"), F.col("row")[text_col].alias("_text"))))
+    found = cut(fingerprints(rows.select(F.struct(F.col("row")[id_col].isNull().alias("null"), F.col("row")[id_col].alias("id"), "key").alias("_best"), F.col("row")[text_col].alias("_text")), shingle, prints))
     kept = components(found, "_best", most).select("_least.key").distinct()
     return rows.join(kept, "key", "left_semi").select("row.*")
 

@@ -141,7 +141,8 @@ def test_bpe_ids_and_text(docs):
 
 
 def brute_components(fps):
-    """fps: doc_id -> fingerprint."""
+    """fps: doc_id -> fingerprint, or several, any of which may link."""
+    fps = {i: f if isinstance(f, list) else [f] for i, f in fps.items()}
     ids = sorted(fps)
     parent = {i: i for i in ids}
 
@@ -153,18 +154,28 @@ def brute_components(fps):
 
     for k, i in enumerate(ids):
         for j in ids[:k]:
-            if (fps[i] ^ fps[j]).bit_count() <= 3:
+            if any((x ^ y).bit_count() <= 3 for x, y in zip(fps[i], fps[j], strict=True)):
                 a, b = sorted((root(i), root(j)))
                 parent[b] = a
     return {i: root(i) for i in ids}
 
 
-def brute_fingerprint(text):
+def mix64(h, k):
+    if not k:
+        return h
+    m = (1 << 64) - 1
+    z = h + k * 0x9E3779B97F4A7C15 & m
+    z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 & m
+    z = (z ^ z >> 27) * 0x94D049BB133111EB & m
+    return z ^ z >> 31
+
+
+def brute_fingerprint(text, n=3, k=0):
     import xxhash
 
     w = [x.decode() for x in (text or "").encode().lower().split()]
-    s = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else [" ".join(w)] if w else []
-    h = [xxhash.xxh64_intdigest(x, seed=42) for x in s]
+    s = [" ".join(w[i : i + n]) for i in range(len(w) - n + 1)] if len(w) >= n else [" ".join(w)] if w else []
+    h = [mix64(xxhash.xxh64_intdigest(x, seed=42), k) for x in s]
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
@@ -198,7 +209,7 @@ def test_links_small_and_large_buckets(spark, most):
             for b in rnd.sample(range(64), rnd.choice([1, 2, 3, 4])):
                 base ^= 1 << b
     fps = {f - (1 << 64) if f >> 63 else f for f in fps}
-    edges = simhash.links(spark.createDataFrame([(f,) for f in fps], "_fp long"), most)
+    edges = simhash.links(spark.createDataFrame([(0, f, f) for f in fps], "_k int, _fp long, _m long"), most)
     for r in edges.collect():
         assert ((r["a"] ^ r["b"]) & (1 << 64) - 1).bit_count() <= 3
     got = {r["node"]: r["root"] for r in components.stars(edges).collect()}
@@ -206,6 +217,23 @@ def test_links_small_and_large_buckets(spark, most):
     assert {f: got.get(f, f) for f in fps} == brute_components(unsigned)
 
 
+@pytest.mark.parametrize("most", [1, 64])
+def test_several_fingerprints_link_by_any(spark, most):
+    rnd = random.Random(6)
+    rows = []
+    for _ in range(8):
+        base = [rnd.getrandbits(64) for _ in range(3)]
+        for _ in range(6):
+            base = [b ^ sum(1 << x for x in rnd.sample(range(64), rnd.choice([0, 3, 5]))) if rnd.random() < 0.6 else rnd.getrandbits(64) for b in base]
+            rows.append(base)
+    rows += [rows[0], [rows[1][0], 5, 6], [7, rows[9][1], 8]]
+    signed = [[f - (1 << 64) if f >> 63 else f for f in r] for r in rows]
+    found = spark.createDataFrame(list(enumerate(signed)), "id long, _fps array<long>")
+    got = {r["_fp"]: r["_least"] for r in simhash.components(found, "id", most).collect()}
+    want = brute_components(dict(enumerate(rows)))
+    assert {i: got[r[0]] for i, r in enumerate(signed)} == want and len(set(want.values())) > 5
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, i) for i in range(1001, 1400)] + [(7, 7)]
     got = {r["node"]: r["root"] for r in components.stars(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -32,19 +32,90 @@ def test_licences_found_and_prose_left(spark):
 
 def test_licence_model_on_held_out_paragraphs(spark):
     model = licenses.fitted()
-    assert model["accuracy"] > 0.93
+    assert model["accuracy"] > 0.9
     texts, labels = licenses.made(seed=99)
     df = docs_of(spark, list(enumerate(texts)))
-    best = {r["doc_id"]: r["family"] for r in licenses.scan(df).filter("paragraph = 0").collect()}
+    best = {r["doc_id"]: r["family"] for r in licenses.scan(df).collect()}
     right = sum(best.get(i, licenses.UNKNOWN) == y for i, y in enumerate(labels))
-    assert right > 0.93 * len(labels)
+    assert right > 0.9 * len(labels)
+
+
+def brute_scan(text):
+    """(first line, last line, family, template, confirmed) by dictionaries and loops."""
+    model = licenses.fitted()
+    classes, n_cls = model["classes"], len(model["classes"])
+    runs, lines = [[]], (text or "").split("\n")
+    for i, x in enumerate(lines):
+        if x.encode().split():
+            runs[-1].append(i)
+        else:
+            runs.append([])
+
+    def judged(first, last):
+        g = licenses.grams("\n".join(lines[first : last + 1])) & set(model["weights"])
+        if not g:
+            return None
+        z = (model["bias"] + sum(model["weights"][x] for x in g)) / model["temperature"]
+        if z[:-1].max() <= z[-1]:
+            return None
+        f, p = int(z[:-1].argmax()), np.exp(z - z.max())
+        p = float(p[:-1].max() / p.sum())
+        share = [len(set(licenses.shingles(t)) & g) / len(licenses.shingles(t)) for t in licenses.TEMPLATES[classes[f]]]
+        k = int(np.argmax(share))
+        sure = p >= model["threshold"] and share[k] >= licenses.CONFIRM
+        return first, last, classes[f] if p >= model["threshold"] else licenses.UNKNOWN, f"{classes[f]}/{k}", sure
+
+    assert n_cls == len(licenses.TEMPLATES) + 1
+    for run in runs:
+        own = [i for i in run if licenses.grams(lines[i]) & set(model["weights"])]
+        found = [j for j in (judged(i, i) for i in own) if j]
+        hit = [i for i in run if licenses.grams(lines[i])]
+        whole = judged(run[0], run[-1]) if len(hit) > 1 else None
+        if whole and whole[4] and not any(j[4] and j[2] == whole[2] for j in found):
+            yield whole[2:]
+            found = [j for j in found if j[4]]
+        yield from found
+
+
+def wrapped(text, width=72, mark="// "):
+    import textwrap
+
+    return "\n".join(mark + x for x in textwrap.wrap(" ".join(text.split()), width))
+
+
+def test_licences_by_brute_force(spark):
+    t = licenses.TEMPLATES
+    prose = "The river ran past the old mill, and nobody was there to see it.\nOne more line of the software and its terms."
+    texts = [prose, f"{prose}\nReleased under the MIT License.\n{prose}", *[f"{prose}\n\n{wrapped(x)}\n\n{prose}" for f in t for x in t[f]], *[wrapped(x, 30, " * ") + "\n" + prose for f in t for x in t[f]], None, "", "\n\n", "All rights reserved.\n\n\nAll rights reserved."]
+    got = {}
+    for r in licenses.scan(docs_of(spark, list(enumerate(texts)))).collect():
+        multi = r["last_line"] > r["paragraph"]
+        row = (r["family"], r["template"], r["confirmed"])
+        got.setdefault(r["doc_id"], Counter())[row if multi else (r["paragraph"], r["last_line"], *row)] += 1
+    for i, text in enumerate(texts):
+        assert got.get(i, Counter()) == Counter(brute_scan(text)), (i, text)
+
+
+def test_wrapped_notices_are_found_whole(spark):
+    lt = licenses.TEMPLATES
+    code = "import os\n\ndef main():\n    return os.getcwd()"
+    cases = [("mit", lt["mit"][0]), ("isc", lt["isc"][0]), ("bsd", lt["bsd"][0]), ("apache", lt["apache"][0]), ("gpl", lt["gpl"][0]), ("agpl", lt["agpl"][0]), ("lgpl", lt["lgpl"][0]), ("mpl", lt["mpl"][0]), ("epl", lt["epl"][0]), ("unlicense", lt["unlicense"][0])]
+    texts = [(k, f"{wrapped(x, 66, mark)}\n\n{code}") for k, (_, x) in enumerate(cases) for mark in ("# ",)]
+    texts += [(100 + k, f"{code}\n\n{wrapped(x, 40, ' * ')}") for k, (_, x) in enumerate(cases)]
+    got = {}
+    for r in licenses.scan(docs_of(spark, texts)).filter("confirmed").collect():
+        got.setdefault(r["doc_id"], set()).add(r["family"])
+    for k, (family, _) in enumerate(cases):
+        assert got.get(k) == {family} and got.get(100 + k) == {family}, (family, got.get(k), got.get(100 + k))
 
 
 def test_licence_edges(spark):
     assert licenses.scan(docs_of(spark, [])).collect() == []
-    long = docs_of(spark, [(1, "word " * 30_000 + "Released under the MIT License.")]).selectExpr("*", "'x' as paragraph", "'x' as gram", "'x' as family")
-    assert licenses.scan(long).columns == ["doc_id", "paragraph", "family", "probability", "template", "overlap", "confirmed"]
-    assert licenses.scan(long).count() <= 1
+    long = docs_of(spark, [(1, "word " * 30_000 + "Released under the MIT License."), (None, "Released under the MIT License.")]).selectExpr("*", "'x' as paragraph", "'x' as gram", "'x' as family", "1 as t", "2 as u", "3 as lines", "4 as k")
+    found = licenses.scan(long)
+    assert found.columns == ["doc_id", "paragraph", "last_line", "family", "probability", "template", "overlap", "confirmed"]
+    got = {r["doc_id"]: r for r in found.collect()}
+    assert got[None]["family"] == "mit" and got[None]["confirmed"] and got[1]["confirmed"]
 
 
 # pages
@@ -287,7 +358,13 @@ def brute_kn(texts, known):
     return level(tri, level(bi, level(uni, lambda g: flat))), vocab
 
 
-def test_kneser_ney_brute(trusted):
+def kneser_ney_hot(monkeypatch):
+    """Keys of more than two n-grams are joined apart, so both ways are taken."""
+    monkeypatch.setattr(kneser_ney, "HOT", 2)
+
+
+def test_kneser_ney_brute(trusted, monkeypatch):
+    kneser_ney_hot(monkeypatch)
     model = kneser_ney.fit(trusted)
     p, vocab = brute_kn([r["text"] for r in trusted.collect()], kneser_ney.KNOWN)
     for text in ["the cat sat", "dog the a mat", "", "zebra the unknown cat", "on on on"]:
@@ -329,14 +406,42 @@ def test_rare_language_beside_a_large_one(spark, trusted):
 
 def test_clean_labelled_documents_stay(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
-    model = kneser_ney.fit(kneser_ney.trusted_sample(docs, labels))
-    got = kneser_ney.classify(docs, model).join(labels, "doc_id").filter("n_tokens > 40")
+    trusted = kneser_ney.trusted_sample(docs, labels)
+    model = kneser_ney.fit(trusted)
+    got = kneser_ney.classify(docs, model, trusted).join(labels, "doc_id").filter("n_tokens > 40")
     rows = got.select("quality", "kept").collect()
     good = [r["kept"] for r in rows if r["quality"] == 1]
     bad = [r["kept"] for r in rows if r["quality"] == 0]
     assert np.mean(good) > 0.98 and np.mean(bad) < 0.7
 
 
+def test_verdicts_by_brute_force(spark, trusted):
+    """classify by loops: perplexities from the model alone, quantiles from sorted lists, whatever the partitions."""
+    model, rnd = kneser_ney.fit(trusted), np.random.default_rng(4)
+    vocab = ["the", "cat", "sat", "on", "mat", "dog", "zebra", "xq%%", "ate"]
+    rows = [(i, " ".join(rnd.choice(vocab, rnd.integers(0, 30))), ["en", "de", None, "fr"][i % 7 % 4], None, None) for i in range(150)] + [(3, "the cat", "en", None, None), (None, "a mat", "xx", None, None)]
+    seen = [0, 7, 14]
+    per = []
+    for i, text, lang, *_ in rows:
+        w = text.encode().split()
+        n = model.numbered(w)
+        total = model.logs(n, np.array([0])).astype(float).sum() + model.spelled([x for x in w if x not in model.numbers])
+        per.append((i, lang, len(w) + 1, -total / (len(w) + 1) if w else None))
+    want: Counter = Counter()
+    for i, lang, n, p in per:
+        own = sorted(math.floor(q * kneser_ney.STEP) for j, other, _, q in per if other == lang and q is not None and j not in seen)
+        at = lambda x: own[math.ceil(len(own) * x) - 1] / kneser_ney.STEP  # noqa: B023, E731
+        spread = ((at(0.5) - at(0.25)) * len(own) + kneser_ney.USUAL * kneser_ney.PRIOR) / (len(own) + kneser_ney.PRIOR)
+        limit = at(0.5) + kneser_ney.FENCE * math.sqrt(spread**2 + (0.6745 * kneser_ney.TOKEN) ** 2 / n)
+        want[i, lang, n, p is not None and p <= limit, None if p is None else round(limit, 2)] += 1
+    df = spark.createDataFrame(rows, SCHEMA)
+    known = spark.createDataFrame([(i,) for i in seen], "doc_id long")
+    for parts in (1, 7):
+        got = kneser_ney.classify(df.repartition(parts), model, known).collect()
+        assert Counter((r["doc_id"], r["lang"], r["n_tokens"], r["kept"], None if r["threshold"] is None else round(r["threshold"], 2)) for r in got) == want
+    assert 0 < sum(not k[3] for k in want if k[2] > 1)
+
+
 def test_no_trusted_text(spark):
     model = kneser_ney.fit(spark.createDataFrame([], "text string"))
     (r,) = kneser_ney.classify(docs_of(spark, [(1, "a b c")]), model).collect()

@@ -65,7 +65,7 @@ def brute_exact(rows):
 
 
 def brute_near(rows):
-    prints = dict(enumerate(brute_fingerprint(r["text"]) for r in rows))
+    prints = {i: [brute_fingerprint(r["text"], simhash.NEAR_SHINGLE, k) for k in range(simhash.PRINTS)] for i, r in enumerate(rows)}
     groups = defaultdict(list)
     for k, c in brute_components(prints).items():
         groups[c].append(rows[k])
@@ -163,7 +163,7 @@ def test_run_by_brute_force(spark, tmp_path, clashing):
     for r in rows:
         ids = library.encode(r["text"], add_special_tokens=False).ids
         want[r["doc_id"], len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256(r["text"].encode()).hexdigest()] += 1
-    assert len(want) > 50 and got == want
+    assert len(want) > 40 and got == want
 
 
 def test_run_leaves_one_copy(spark, tmp_path):
@@ -173,7 +173,7 @@ def test_run_leaves_one_copy(spark, tmp_path):
     before = set(os.listdir(own)) if os.path.isdir(own) else set()
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert len(set(os.listdir(own)) - before) == 1
-    assert out.count() > 50
+    assert out.count() > 40
 
 
 def test_passing_keeps_what_it_is_told(spark):
