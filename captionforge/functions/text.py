@@ -117,10 +117,14 @@ def similarity_of_normalized(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0.0)).otherwise(F.least(best, F.lit(1.0)))
 
 
-def similarity(first: Column | str, second: Column | str) -> Column:
-    """0 to 1; 0 where either is empty, 1 where they are the same but for case, marks and confused characters."""
+def similarity(first: Column | str, second: Column | str, first_norm: Column | str | None = None, second_norm: Column | str | None = None) -> Column:
+    """0 to 1; 0 where either is empty, 1 where they are the same but for case, marks and confused characters.
+
+    Texts that are compared more than once can bring their normalised forms along.
+    """
     a, b = filled(first), filled(second)
-    return F.when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0.0)).otherwise(similarity_of_normalized(normalize_for_comparison(a), normalize_for_comparison(b)))
+    na, nb = (normalize_for_comparison(t) if n is None else col(n) for t, n in ((a, first_norm), (b, second_norm)))
+    return F.when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0.0)).otherwise(let(F.struct(na.alias("a"), nb.alias("b")), lambda n: similarity_of_normalized(n["a"], n["b"])))
 
 
 def lines_of(text: Column | str) -> Column:
@@ -193,10 +197,17 @@ def confidence_with_quality(text: Column | str, confidence: Column | str) -> Col
 def word_confidence(text: Column | str, width: Column | str, height: Column | str) -> Column:
     """The confidence of a word, 0 to 100, by its length, characters and box."""
     t, w, h = filled(text), col(width), col(height)
-    n, alnum = F.length(t), alnum_count(t)
     add = lambda test, v: F.when(test, F.lit(float(v))).otherwise(F.lit(0.0))
     aspect = w / F.greatest(F.lit(1.0), h)
-    total = F.lit(85.0) + add(n >= 3, 5) + add(n >= 5, 3)
-    total = total + F.when(n == 1, F.when(alnum == 1, -5.0).otherwise(-25.0)).otherwise(0.0)
-    total = total + add((n > 1) & (alnum * 2 < n), -15) + add(has_cjk(t), 5) + add((w < 8) | (h < 8), -20) + add((aspect >= 0.2) & (aspect <= 15), 3)
-    return F.least(F.lit(100.0), F.greatest(F.lit(0.0), total))
+
+    def scored(m: Column) -> Column:
+        n, alnum = m["n"], m["alnum"]
+        total = F.lit(85.0) + add(n >= 3, 5) + add(n >= 5, 3)
+        total = total + F.when(n == 1, F.when(alnum == 1, -5.0).otherwise(-25.0)).otherwise(0.0)
+        total = total + add((n > 1) & (alnum * 2 < n), -15) + add(m["cjk"], 5) + add((w < 8) | (h < 8), -20) + add((aspect >= 0.2) & (aspect <= 15), 3)
+        return F.least(F.lit(100.0), F.greatest(F.lit(0.0), total))
+
+    # words of Latin letters and digits only, which are most, need no class counts
+    plain = t.rlike("^[A-Za-z0-9]+$")
+    alnum = F.when(plain, F.length(t)).otherwise(alnum_count(t))
+    return let(F.struct(F.length(t).alias("n"), alnum.alias("alnum"), (~plain & has_cjk(t)).alias("cjk")), scored)

@@ -9,22 +9,25 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 Rows = list[dict]
 CONFUSED = str.maketrans("01|!$@", "oiiisa")
 
 
-def fold(df: DataFrame, run: Callable[[Rows], Rows], order: list[str], schema=None, key: str = "video_id") -> DataFrame:
+def fold(df: DataFrame, run: Callable[[Rows], Rows], order: list[str], schema: str | None = None, key: str = "video_id") -> DataFrame:
     """run over each video's rows in order; its rows have df's columns, or the schema's."""
-    columns = (schema or df.schema).fieldNames() if not isinstance(schema, str) else [c.split()[0] for c in schema.split(",")]
+    kind = df.schema if schema is None else T.StructType.fromDDL(schema)
+    made = to_arrow_schema(kind)
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
-        return pd.DataFrame(run(rows.to_dict("records")), columns=columns)
+    def one(rows: pa.Table) -> pa.Table:
+        found = sorted(rows.to_pylist(), key=lambda r: [(r[c] is not None, r[c]) for c in order])
+        return pa.Table.from_pylist(run(found), schema=made)
 
-    return df.groupBy(key).applyInPandas(one, schema or df.schema)
+    return df.groupBy(key).applyInArrow(one, kind)
 
 
 Rule = tuple[Callable[[dict, dict], bool], Callable[[dict, dict], dict]]

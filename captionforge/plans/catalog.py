@@ -37,9 +37,10 @@ def on_lines(columns: Columns) -> Query:
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames with the text before."""
+    """Frames with the text before, and both as they are compared; a text is normalised once."""
     order = Window.partitionBy("video_id").orderBy("ts_ms")
-    return carriers.frames(spark, sf_dir).withColumn("prev", F.lag("text").over(order)).filter("prev is not null")
+    frames = carriers.frames(spark, sf_dir).withColumn("norm", tx.normalize_for_comparison("text"))
+    return frames.withColumns({"prev": F.lag("text").over(order), "prev_norm": F.lag("norm").over(order)}).filter("prev is not null")
 
 
 def on_pairs(columns: Columns) -> Query:
@@ -171,7 +172,7 @@ def queries() -> dict[str, Query]:
         "clean_text": on_lines(lambda: dict(text=tx.clean_text("text"))),
         "normalize_cmp": on_frames(lambda: dict(text=tx.normalize_for_comparison("text"))),
         "is_better_text": on_pairs(lambda: dict(better=tx.is_better_text("text", "prev"))),
-        "similarity": on_pairs(lambda: dict(similarity=F.round(tx.similarity("text", "prev"), 9))),
+        "similarity": on_pairs(lambda: dict(similarity=F.round(tx.similarity("text", "prev", "norm", "prev_norm"), 9))),
         "levenshtein": on_pairs(lambda: dict(distance=F.levenshtein("text", "prev"))),
         "adaptive_threshold": lambda spark, sf_dir: spark.range(1, 11).select(F.col("id").alias("fps"), F.round(tx.adaptive_threshold(F.col("id")), 6).alias("threshold")),
         "normalize_ocr": on_lines(lambda: dict(text=tx.normalize_ocr("text"))),
