@@ -5,7 +5,8 @@ No engine is in here. One is anything with a name and `recognize(pixels) -> (tex
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import os
+from collections.abc import Iterator
 from typing import Protocol
 
 import numpy as np
@@ -76,15 +77,28 @@ def empty_rate(ocr: DataFrame, most: float = 0.8) -> DataFrame:
     return rate.withColumn("warned", F.col("empty") > F.col("frames") * most)
 
 
-def recognize(frames: DataFrame, engine: Engine, mode: str = "Auto") -> DataFrame:
+def recognize(frames: DataFrame, engine: Engine, mode: str = "Auto", looked_at: str | None = None) -> DataFrame:
     """(video_id, ts_ms, text) of frames (video_id, ts_ms, and data, width, height of a BGR image), read with an engine.
 
     Mode Auto tries the passes in turn, up to one that is good enough, and keeps the best. A frame that can't be read gives an empty text. Frames are read one at a time
-    where they lie, so an executor holds few images at once.
+    where they lie, so an executor holds few images at once. looked_at, a folder that executors see, gets every frame and what each
+    pass made of it, as PNG files.
     """
-    from .raster import preprocess, upscale
+    from captionforge.sources.frames import save_image
 
-    def passes(pixels: np.ndarray) -> list[tuple[str, str, float]]:
+    from .raster import preprocess as made
+    from .raster import upscale
+
+    def passes(pixels: np.ndarray, name: str) -> list[tuple[str, str, float]]:
+        def preprocess(pixels: np.ndarray, m: str) -> np.ndarray:
+            image = made(pixels, m)
+            if looked_at:
+                save_image(image, os.path.join(looked_at, f"1_{m}_{name}.png"))
+            return image
+
+        if looked_at:
+            os.makedirs(looked_at, exist_ok=True)
+            save_image(pixels, os.path.join(looked_at, f"0_original_{name}.png"))
         out = []
         for m in PASSES if mode == "Auto" else (mode,):
             try:
@@ -107,7 +121,7 @@ def recognize(frames: DataFrame, engine: Engine, mode: str = "Auto") -> DataFram
             rows = []
             for f in batch.itertuples():
                 pixels = np.frombuffer(f.data, np.uint8).reshape(f.height, f.width, -1)[:, :, 2::-1]
-                found = passes(pixels)
+                found = passes(pixels, f"{f.video_id}_{f.ts_ms}")
                 rows += [(f.video_id, f.ts_ms, k, m, t, c) for k, (m, t, c) in enumerate(found)] or [(f.video_id, f.ts_ms, 0, mode, "", 0.0)]
             yield pd.DataFrame(rows, columns=["video_id", "ts_ms", "ord", "mode", "text", "conf"])
 

@@ -12,6 +12,8 @@ from captionforge.functions import text as tx
 
 #: Extensions of videos. (Fixed values.)
 VIDEOS = ("mp4", "mkv", "avi", "mov", "wmv")
+#: Videos whose first frame's number is broadcast at most: some ten bytes each.
+VIDEOS_AT_ONCE = 1_000_000
 
 
 def is_video(path: Column | str) -> Column:
@@ -49,11 +51,27 @@ def frame_manifest(files: DataFrame, fps: int = 2, begin: Column | int = 0, zero
 
 
 def read_frames(spark: SparkSession, folder: str, fps: int = 2, pattern: str = r"frame_\d+\.png$") -> DataFrame:
-    """(video_id, frame_no, path, ts_ms, data, width, height) of a folder of videos' folders of frames; video_id is a hash of the folder."""
-    images = spark.read.format("image").option("recursiveFileLookup", True).load(folder).select("image.origin", "image.data", "image.width", "image.height").filter(F.col("origin").rlike(pattern))
-    keyed = images.withColumn("video_id", F.xxhash64(F.regexp_replace("origin", "/[^/]*$", ""))).withColumnRenamed("origin", "path")
-    numbers = frame_manifest(keyed.select("video_id", "path"), fps)
-    return numbers.join(keyed.drop("video_id"), "path").select("video_id", "frame_no", "path", "ts_ms", "data", "width", "height")
+    """(video_id, frame_no, path, ts_ms, data, width, height) of a folder of videos' folders of frames; video_id is a hash of the folder.
+
+    Frames are numbered by name from a listing that opens no file. Where a video's names count without a gap, which is the rule, its
+    first number is all that its images need, and they stay where they are read; the images of other videos are joined by path.
+    """
+    # the two readers don't write a local path alike
+    plain_path = lambda c: F.regexp_replace(c, "^file:/+", "file:/").alias("path")
+    of = F.xxhash64(F.regexp_replace("path", "/[^/]*$", ""))
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(plain_path("path")).filter(F.col("path").rlike(pattern)).withColumn("video_id", of)
+    number = F.regexp_extract("path", r"(\d+)[^/\d]*$", 1).cast("long")
+    per = listed.groupBy("video_id").agg(F.min(number).alias("_first"), (F.max(number) - F.min(number) + 1 == F.count(F.lit(1))).alias("_plain"))
+    images = spark.read.format("image").option("recursiveFileLookup", True).load(folder).select(plain_path("image.origin"), "image.data", "image.width", "image.height").filter(F.col("path").rlike(pattern)).withColumn("video_id", of)
+    columns = ["video_id", "frame_no", "path", "ts_ms", "data", "width", "height"]
+    small = per.limit(VIDEOS_AT_ONCE + 1).count() <= VIDEOS_AT_ONCE
+    met = images.join(F.broadcast(per) if small else per, "video_id")
+    plain = met.filter("_plain").withColumn("_k", number - F.col("_first"))
+    plain = plain.withColumns({"frame_no": (F.col("_k") + 1).cast("int"), "ts_ms": frame_time("_k", checked_fps(fps))})
+    if not per.filter("not _plain").limit(1).count():
+        return plain.select(*columns)
+    numbers = frame_manifest(listed.join(per.filter("not _plain"), "video_id", "left_semi"), fps)
+    return plain.select(*columns).unionByName(met.filter("not _plain").drop("video_id").join(numbers, "path").select(*columns))
 
 
 def stretch(start_ms: Column | str, end_ms: Column | str, fps: int = 10) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from captionforge import schema
 from captionforge.functions import text as tx
 from captionforge.operators import cleaning, detection, folds, ocr, pixels, raster, regions, timing
-from captionforge.sources import frames, srt
+from captionforge.sources import extract, frames, srt
 
 SF = "/root/testdata/sf0.001"
 
@@ -213,7 +213,37 @@ def test_recognition_over_image_files(spark, tmp_path):
     assert kept.count() == 4
 
 
-def test_passes_end_with_one_that_is_good_enough(spark):
+def test_frames_are_cut_by_a_program(spark, tmp_path):
+    """A stand-in for ffmpeg that writes three files by the pattern it is given, or fails."""
+    program, video, out = tmp_path / "ffmpeg", tmp_path / "a [1].mp4", tmp_path / "out"
+    program.write_text("#!/bin/sh\nfor last; do :; done\ncase \"$*\" in *bad*) echo one >&2; echo no such stream >&2; exit 1;; esac\nfor n in 1 2 3; do : > \"$(printf \"$last\" $n)\"; done\n")
+    program.chmod(0o755)
+    video.write_text("x")
+    (out / "7").mkdir(parents=True)
+    (out / "7" / "frame_000009.png").write_text("old")
+    one = spark.createDataFrame([(7, str(video))], "video_id long, path string")
+    got = [(r["frame_no"], r["ts_ms"], r["path"][-16:]) for r in extract.extract_frames(one, str(out), 3, str(program)).orderBy("frame_no").collect()]
+    assert got == [(1, 0, "frame_000001.png"), (2, 333, "frame_000002.png"), (3, 666, "frame_000003.png")]
+    part = spark.createDataFrame([(8, str(video), 61_500, 62_000)], "video_id long, path string, start_ms long, end_ms long")
+    assert [(r["frame_no"], r["ts_ms"]) for r in extract.extract_frames(part, str(out), 10, str(program)).orderBy("frame_no").collect()] == [(0, 61_500), (1, 61_600), (2, 61_700)]
+    assert extract.command("f", "v", "d", 10, 61_500, 3_600_000)[:5] == ["f", "-ss", "00:01:01.500", "-to", "01:00:00.000"]
+    (tmp_path / "bad.mp4").write_text("x")
+    with pytest.raises(RuntimeError, match="no such stream"):
+        extract.frames_of(str(tmp_path / "bad.mp4"), str(out), 2, str(program))
+    with pytest.raises(FileNotFoundError):
+        extract.frames_of(str(tmp_path / "none.mp4"), str(out), 2, str(program))
+
+
+def test_frames_with_gaps_in_their_names(spark, tmp_path):
+    for folder, numbers in (("plain", (3, 4, 5)), ("gaps", (1, 4, 9))):
+        (tmp_path / folder).mkdir()
+        for k in numbers:
+            frames.save_image(np.full((2, 2, 3), k, np.uint8), str(tmp_path / folder / f"frame_{k:06d}.png"))
+    got = Counter((r["frame_no"], r["ts_ms"], r["data"][0]) for r in frames.read_frames(spark, str(tmp_path), 2).collect())
+    assert got == Counter({(1, 0, 3): 1, (2, 500, 4): 1, (3, 1000, 5): 1, (1, 0, 1): 1, (2, 500, 4): 1, (3, 1000, 9): 1} | {(2, 500, 4): 2})
+
+
+def test_passes_end_with_one_that_is_good_enough(spark, tmp_path):
     """As best_pass has it, which leaves out later passes; here they aren't tried at all, so what they would read can't matter."""
     shown = spark.createDataFrame([(1, 0, bytes(12), 2, 2)], "video_id long, ts_ms long, data binary, width int, height int")
     tries = []
@@ -224,6 +254,8 @@ def test_passes_end_with_one_that_is_good_enough(spark):
 
     (r,) = ocr.recognize(shown, FakeEngine(rule)).collect()
     assert r["text"] == "good text"
+    ocr.recognize(shown, FakeEngine(lambda _: ("", 0.0)), looked_at=str(tmp_path / "seen")).collect()
+    assert sorted(p.name for p in (tmp_path / "seen").iterdir()) == ["0_original_1_0.png", "1_Adaptive_1_0.png", "1_ColorBased_1_0.png", "1_Invert_1_0.png", "1_Otsu_1_0.png"]
 
 
 def test_quality_agrees_in_both_forms(spark):
