@@ -15,7 +15,13 @@ from .common import SPACE, let, lower_ascii, table, words
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
 SEPARATORS = "|»›•·"
-BOILERPLATE = "(all rights reserved|terms of (use|service)|privacy policy|cookie|click here|subscribe (now|to)|sign (in|up)|log ?in|skip to|enable javascript|share (this|on)|powered by)"
+#: Phrases of footers, notices and menus in English, German, French and Spanish.
+BOILERPLATE = (
+    "(all rights reserved|terms of (use|service)|privacy policy|cookie|click here|subscribe (now|to)|sign (in|up)|log ?in|skip to|enable javascript|share (this|on)|powered by"
+    "|alle rechte vorbehalten|datenschutz|impressum|nutzungsbedingungen|hier klicken|jetzt (abonnieren|anmelden)|weiterlesen"
+    "|tous droits réservés|mentions légales|politique de confidentialité|conditions d.utilisation|cliquez ici|se connecter|lire la suite"
+    "|todos los derechos reservados|aviso legal|política de privacidad|términos (de|y) |haga clic|iniciar sesión|leer más)"
+)
 #: A document may lose at most this percentage of its words.
 MOST_LOST = 50
 
