@@ -149,9 +149,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     bare = lambda x: words(F.translate(F.regexp_replace(x, LEADING, ""), MARKS, " " * len(MARKS)))
     numbered = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("i"), x.rlike(r"^[\x20\x09-\x0D]*$").cast("int").alias("blank"), bare(x).alias("w")))
     named = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("_row"), numbered.alias("lines"))
-    spread = F.flatten(F.transform("lines", lambda x: F.transform(x["w"], lambda w: F.struct(w.alias("w"), x["i"].alias("i")))))
-    named = named.select("doc_id", "_row", spread.alias("t"), F.filter(F.transform("lines", lambda x: F.when(x["blank"] == 1, x["i"])), lambda x: x.isNotNull()).alias("blanks"))
-    run = lambda n: F.when(F.size("t") >= n, F.transform(F.sequence(F.lit(0), F.size("t") - n), lambda i: F.struct(F.concat_ws(" ", *[F.get("t", i + k)["w"] for k in range(n)]).alias("gram"), F.get("t", i)["i"].alias("a"), F.get("t", i + n - 1)["i"].alias("b"))))
+    at = F.flatten(F.transform("lines", lambda x: F.array_repeat(x["i"], F.size(x["w"]))))
+    named = named.select("doc_id", "_row", F.flatten(F.transform("lines", lambda x: x["w"])).alias("t"), at.alias("at"), F.filter(F.transform("lines", lambda x: F.when(x["blank"] == 1, x["i"])), lambda x: x.isNotNull()).alias("blanks"))
+    run = lambda n: F.when(F.size("t") >= n, F.transform(F.sequence(F.lit(0), F.size("t") - n), lambda i: F.struct(F.concat_ws(" ", *[F.get("t", i + k) for k in range(n)]).alias("gram"), F.get("at", i).alias("a"), F.get("at", i + n - 1).alias("b"))))
     none = F.array().cast("array<struct<gram: string, a: int, b: int>>")
     grams = named.select("doc_id", "_row", "blanks", F.explode(F.concat(*[F.coalesce(run(n), none) for n in GRAMS])).alias("g")).select("doc_id", "_row", "blanks", "g.*")
     # few n-grams are left, so what a blank line parts is told of these only
