@@ -30,8 +30,9 @@ from .common import cut, keyed, table
 from .components import stars
 
 RADIUS, SEED, SHINGLE, BITS = 3, 42, 3, 64
-#: Rows a worker turns over at once, and fingerprints of the largest bucket that is joined with itself.
-ROWS, MOST = 500, 64
+#: Rows a worker turns over at once, and fingerprints of the largest bucket that is joined with itself: in all tables together one meets
+#: 15 x 256 / 2 others at most then, which is about what its 2081 points cost.
+ROWS, MOST = 500, 256
 #: Shingles whose bits are counted at once.
 TURN = 20_000
 #: Words of a shingle and fingerprints of a text, where near copies are to be caught.
