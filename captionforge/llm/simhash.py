@@ -5,8 +5,10 @@ vectors v is a table whose mask holds the bits whose vector has an odd product w
 four, so for any three bits some v has an even product with all: its mask leaves them out, and the pair collides in that table.
 No link is lost, whatever the fingerprints.
 
-Equal fingerprints are one before anything is paired. A bucket of at most `most` fingerprints is joined with itself. Those in
-larger buckets are linked another exact way, without pairs: each goes to all points within 2 bits, and a point that has one
+Equal fingerprints are one before anything is paired. First every member of a bucket is linked with the bucket's least and largest
+fingerprint, if these are within the radius: two edges a member, and the components of these take in nearly all of a group of near copies.
+What is left are buckets whose members are in several components. One of at most `most` fingerprints is joined with itself, for pairs from
+different components only. Those in larger ones are linked another exact way, without pairs: each goes to all points within 2 bits, and a point that has one
 within 1 bit ties all others there to it (1 + 2 bits are 3 at most; of a linked pair, some point is within 1 of one and 2 of
 the other). That is 2081 rows a fingerprint, however large its bucket.
 
@@ -95,46 +97,81 @@ def fingerprints(named: DataFrame, shingle: int = SHINGLE, prints: int = 1) -> D
     return whole.mapInArrow(run, T.StructType([*(named.schema[c] for c in others), T.StructField("_fps", T.ArrayType(T.LongType()))]))
 
 
-def links(distinct: DataFrame, most: int = MOST) -> DataFrame:
-    """(a, b): edges that tie together exactly what lies within the radius.
+def apart(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    return left.join(right, on, how)
 
-    distinct has the fingerprints (_k, _fp), _k telling one kind from another, and the node _m that each stands for; edges are of nodes.
+
+def buckets(distinct: DataFrame) -> DataFrame:
+    """(v, key, n, _k, _fp, _m, lo, hi): every fingerprint in each bucket of n > 1 that it is in.
+
+    lo and hi are the nodes of the bucket's hubs, its least and largest fingerprint, where these are within the radius; else null.
     """
     tables = F.array(*[F.struct(F.lit(n).alias("v"), F.lit(m).alias("m")) for n, m in enumerate(masks())])
     dealt = distinct.select("_k", "_fp", "_m", F.explode(tables).alias("t")).select("_fp", "_m", (F.col("_k") * len(masks()) + F.col("t.v")).alias("v"), F.col("_fp").bitwiseAND(F.col("t.m")).alias("key"))
-    shared = cut(dealt.groupBy("v", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    met = cut(dealt.join(shared, ["v", "key"]))
-    few = met.filter(F.col("n") <= most).select("v", "key", "_fp", "_m")
+    node = F.struct("_fp", "_m")
+    shared = cut(dealt.groupBy("v", "key").agg(F.count(F.lit(1)).alias("n"), F.min(node).alias("_lo"), F.max(node).alias("_hi")).filter("n > 1"))
+    hub = lambda c: F.when(F.bit_count(F.col("_fp").bitwiseXOR(F.col(f"{c}._fp"))) <= RADIUS, F.col(f"{c}._m"))
+    return cut(apart(dealt, shared, ["v", "key"]).select("v", "key", "n", F.expr(f"v div {len(masks())}").alias("_k"), "_fp", "_m", hub("_lo").alias("lo"), hub("_hi").alias("hi")))
+
+
+def hubs(met: DataFrame) -> DataFrame:
+    """(a, b): the edges of a bucket's members with its hubs, two a member however large the bucket."""
+    return met.select(F.col("_m").alias("a"), F.explode(F.array("lo", "hi")).alias("b")).filter("a <> b").distinct()
+
+
+def rest(met: DataFrame, roots: DataFrame, most: int) -> DataFrame:
+    """(a, b): edges that tie together what lies within the radius and isn't in one component of roots (node, root) yet."""
+    # of up to three members each pair has a hub in it; a bucket whose members are all in one component has nothing left to tie
+    rooted = apart(met.filter("n > 3").drop("lo", "hi"), roots, F.col("_m") == F.col("node"), "left").withColumn("root", F.coalesce("root", "_m")).drop("node")
+    mixed = rooted.groupBy("v", "key").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).filter("_a <> _b").select("v", "key")
+    left = cut(apart(rooted, mixed, ["v", "key"], "left_semi"))
+    few = left.filter(F.col("n") <= most).select("v", "key", "_fp", "_m", "root")
     pairs = (
-        few.withColumnsRenamed({"_fp": "x", "_m": "a"})
-        .join(few.withColumnsRenamed({"_fp": "y", "_m": "b"}), ["v", "key"])
-        .filter((F.col("x") < F.col("y")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= RADIUS))
+        apart(few.withColumnsRenamed({"_fp": "x", "_m": "a", "root": "_a"}), few.withColumnsRenamed({"_fp": "y", "_m": "b", "root": "_b"}), ["v", "key"])
+        .filter((F.col("x") < F.col("y")) & (F.col("_a") != F.col("_b")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= RADIUS))
         .select("a", "b")
         .distinct()
     )
-    many = met.filter(F.col("n") > most).select(F.expr(f"v div {len(masks())}").alias("_k"), "_fp", "_m").distinct()
+    many = left.filter(F.col("n") > most).select("_k", "_fp", "_m").distinct()
     # bits 0 to 63; 64 stands for none, so (64, 64) is the fingerprint itself and (i, 64) one bit away
     flip = lambda c: F.when(F.col(c) < 64, F.expr(f"shiftleft(1L, {c})")).otherwise(F.lit(0).cast("long"))
     ball = many.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(64)))).withColumn("j", F.explode(F.expr("if(i = 64, array(64), sequence(i + 1, 64))")))
     ball = ball.select("_k", "_m", F.col("_fp").bitwiseXOR(flip("i")).bitwiseXOR(flip("j")).alias("z"), (F.col("j") == 64).alias("near"))
     centre = ball.groupBy("_k", "z").agg(F.min(F.when(F.col("near"), F.col("_m"))).alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1 and b is not null")
-    tied = ball.join(centre, ["_k", "z"]).filter("_m <> b").select(F.col("_m").alias("a"), "b").distinct()
+    tied = apart(ball, centre, ["_k", "z"]).filter("_m <> b").select(F.col("_m").alias("a"), "b").distinct()
     return pairs.unionByName(tied)
 
 
-def components(found: DataFrame, best: str, most: int) -> DataFrame:
-    """(_fp, _least): for each first fingerprint of found (columns `best` and _fps) the least `best` of its component.
+def links(distinct: DataFrame, most: int = MOST) -> DataFrame:
+    """(a, b): edges that tie together exactly what lies within the radius.
+
+    distinct has the fingerprints (_k, _fp), _k telling one kind from another, and the node _m that each stands for; edges are of nodes.
+    """
+    met = buckets(distinct)
+    first = cut(hubs(met))
+    return first.unionByName(rest(met, cut(stars(first)), most))
+
+
+def rooted(found: DataFrame, best: str, most: int) -> DataFrame:
+    """(_fp, _rep, _root): for each first fingerprint of found (columns `best` and _fps) its least `best`, and what names its component.
 
     Texts that have any fingerprint in common are one component to begin with, which goes by the least first fingerprint.
     """
     reps = cut(found.groupBy(F.get("_fps", F.lit(0)).alias("_fp")).agg(F.min(best).alias("_rep")))
     kinds = found.select("_fps").distinct().select(F.get("_fps", F.lit(0)).alias("_first"), F.posexplode("_fps").alias("_k", "_fp"))
     nodes = cut(kinds.groupBy("_k", "_fp").agg(F.min("_first").alias("_m"), F.max("_first").alias("_n")))
-    common = kinds.join(nodes.filter("_m <> _n").drop("_n"), ["_k", "_fp"]).filter("_first <> _m").select(F.col("_first").alias("a"), F.col("_m").alias("b"))
-    roots = stars(links(nodes.drop("_n"), most).unionByName(common))
-    rooted = reps.join(roots, reps["_fp"] == roots["node"], "left").select("_fp", "_rep", F.coalesce("root", "_fp").alias("_root"))
-    least = rooted.groupBy("_root").agg(F.min("_rep").alias("_least"))
-    return rooted.join(least, "_root").select("_fp", "_least")
+    common = apart(kinds, nodes.filter("_m <> _n").drop("_n"), ["_k", "_fp"]).filter("_first <> _m").select(F.col("_first").alias("a"), F.col("_m").alias("b"))
+    met = buckets(nodes.drop("_n"))
+    first = cut(stars(hubs(met).unionByName(common)))
+    # what the hubs have tied goes on as one edge a node
+    roots = stars(first.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest(met, first, most)))
+    return apart(reps, roots, F.col("_fp") == F.col("node"), "left").select("_fp", "_rep", F.coalesce("root", "_fp").alias("_root"))
+
+
+def components(found: DataFrame, best: str, most: int) -> DataFrame:
+    """(_fp, _least): for each first fingerprint of found (columns `best` and _fps) the least `best` of its component."""
+    named = rooted(found, best, most)
+    return apart(named, named.groupBy("_root").agg(F.min("_rep").alias("_least")), "_root").select("_fp", "_least")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
@@ -146,7 +183,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     found = cut(fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))))
     named = components(found, "doc_id", most)
-    return found.withColumn("_fp", F.get("_fps", F.lit(0))).join(named, "_fp").select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), F.col("_least").alias("component_id"))
+    return apart(found.withColumn("_fp", F.get("_fps", F.lit(0))), named, "_fp").select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), F.col("_least").alias("component_id"))
 
 
 def keep_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR_SHINGLE, prints: int = PRINTS, most: int = MOST) -> DataFrame:
@@ -159,8 +196,8 @@ def keep_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """
     rows = keyed(docs)
     found = cut(fingerprints(rows.select(F.struct(F.col("row")[id_col].isNull().alias("null"), F.col("row")[id_col].alias("id"), "key").alias("_best"), F.col("row")[text_col].alias("_text")), shingle, prints))
-    kept = components(found, "_best", most).select("_least.key").distinct()
-    return rows.join(kept, "key", "left_semi").select("row.*")
+    kept = rooted(found, "_best", most).groupBy("_root").agg(F.min("_rep").alias("_least")).select("_least.key")
+    return apart(rows, kept, "key", "left_semi").select("row.*")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

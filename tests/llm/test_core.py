@@ -347,3 +347,22 @@ def test_ring_moves_little_as_it_is_run():
     a, b = owners(16), owners(17)
     moved = sum(a[k] != b[k] for k in a)
     assert 1 / 17 <= moved / total < 0.1
+
+
+def near_group(n, bits=1, seed=8):
+    """n fingerprints that differ from one in `bits` of twenty bits at most, and so share buckets."""
+    rnd = random.Random(seed)
+    out = {rnd.getrandbits(63)}
+    base = next(iter(out))
+    while len(out) < n:
+        out.add(base ^ sum(1 << b for b in rnd.sample(range(20), bits)))
+    return out
+
+
+def test_edges_of_a_bucket_grow_with_its_members(spark):
+    """A group of 150 near copies, all in buckets that are joined with themselves, has far fewer edges than its 11,175 pairs."""
+    fps = near_group(150, 2)
+    edges = simhash.links(spark.createDataFrame([(0, f, f) for f in fps], "_k int, _fp long, _m long"), 256).collect()
+    assert len(edges) <= 2 * 15 * len(fps) < 150 * 149 // 2
+    got = {r["node"]: r["root"] for r in components.stars(spark.createDataFrame([tuple(r) for r in edges], "a long, b long")).collect()}
+    assert {f: got.get(f, f) for f in fps} == brute_components({f: f for f in fps})
