@@ -17,7 +17,7 @@ def stars(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): every node that has an edge, with the least node of its component.
 
     Each round ties all larger neighbours of a node to its least one, then all smaller ones. Minima are combined before the
-    exchange and joined back to the edges, where adaptive execution splits a node with very many. Rounds grow with the
+    exchange and joined back to the edges, dealt out by node whatever their number, where adaptive execution splits a node with very many. Rounds grow with the
     logarithm of the nodes and end by themselves; each is written to the shared folder, so a lost executor costs one round at most.
     """
     now = cut(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b").distinct())
@@ -25,10 +25,10 @@ def stars(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = both.join(least.hint("merge"), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         low = down.groupBy("a").agg(F.min("b").alias("m"))
-        met = down.join(low, "a")
+        met = down.join(low.hint("merge"), "a")
         tied = met.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(met.select("a", F.col("m").alias("b")))
         now = cut(tied.filter("a <> b").distinct(), instead_of=now)
         if (new := _mark(now)) == mark:

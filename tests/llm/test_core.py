@@ -366,3 +366,19 @@ def test_edges_of_a_bucket_grow_with_its_members(spark):
     assert len(edges) <= 2 * 15 * len(fps) < 150 * 149 // 2
     got = {r["node"]: r["root"] for r in components.stars(spark.createDataFrame([tuple(r) for r in edges], "a long, b long")).collect()}
     assert {f: got.get(f, f) for f in fps} == brute_components({f: f for f in fps})
+
+
+def test_near_copies_are_linked_without_broadcasts(spark, monkeypatch):
+    """Whatever the threshold, no table of fingerprints or edges goes through the driver."""
+    plans, real = [], simhash.cut
+
+    def cut(df, instead_of=None):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, instead_of=instead_of)
+
+    monkeypatch.setattr(simhash, "cut", cut)
+    monkeypatch.setattr(components, "cut", cut)
+    rows = [(i, " ".join(f"w{(i * 7 + k) % 50}" for k in range(30)), None, None, None) for i in range(60)]
+    out = simhash.keep_near(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 8 and not [p for p in plans if "Broadcast" in p]
