@@ -151,9 +151,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     named = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("_row"), numbered.alias("lines"))
     at = F.flatten(F.transform("lines", lambda x: F.array_repeat(x["i"], F.size(x["w"]))))
     named = named.select("doc_id", "_row", F.flatten(F.transform("lines", lambda x: x["w"])).alias("t"), at.alias("at"), F.filter(F.transform("lines", lambda x: F.when(x["blank"] == 1, x["i"])), lambda x: x.isNotNull()).alias("blanks"))
-    run = lambda n: F.when(F.size("t") >= n, F.transform(F.sequence(F.lit(0), F.size("t") - n), lambda i: F.struct(F.concat_ws(" ", *[F.get("t", i + k) for k in range(n)]).alias("gram"), F.get("at", i).alias("a"), F.get("at", i + n - 1).alias("b"))))
-    none = F.array().cast("array<struct<gram: string, a: int, b: int>>")
-    grams = named.select("doc_id", "_row", "blanks", F.explode(F.concat(*[F.coalesce(run(n), none) for n in GRAMS])).alias("g")).select("doc_id", "_row", "blanks", "g.*")
+    # every word with the ones after it; only where an n-gram may begin are n-grams put together
+    longest = max(GRAMS)
+    first = spark.createDataFrame([(w,) for w in sorted({g.split(" ")[0] for g in names})], "w0 string")
+    after = [F.slice("t", k + 1, F.greatest(F.size("t") - k, F.lit(0))).alias(f"w{k}") for k in range(longest)]
+    ends = [F.slice("at", k + 1, F.greatest(F.size("at") - k, F.lit(0))).alias(f"i{k}") for k in range(longest)]
+    begun = named.select("doc_id", "_row", "blanks", F.inline(F.arrays_zip(*after, *ends))).join(F.broadcast(first), "w0")
+    run = lambda n: F.when(F.col(f"w{n - 1}").isNotNull(), F.struct(F.concat_ws(" ", *[f"w{k}" for k in range(n)]).alias("gram"), F.col("i0").alias("a"), F.col(f"i{n - 1}").alias("b")))
+    grams = begun.select("doc_id", "_row", "blanks", F.explode(F.array(*[run(n) for n in GRAMS])).alias("g")).filter("g is not null").select("doc_id", "_row", "blanks", "g.*")
     # few n-grams are left, so what a blank line parts is told of these only
     met = grams.join(F.broadcast(features), "gram").select("doc_id", "_row", "a", "b", "k", F.size(F.filter("blanks", lambda x: x < F.col("a"))).alias("run"), F.size(F.filter("blanks", lambda x: x < F.col("b"))).alias("_end"))
     per = met.filter("run = _end").groupBy("_row", "doc_id", "run").agg(F.collect_set(F.struct("a", "b", "k")).alias("hits"))

@@ -109,6 +109,15 @@ def test_wrapped_notices_are_found_whole(spark):
         assert got.get(k) == {family} and got.get(100 + k) == {family}, (family, got.get(k), got.get(100 + k))
 
 
+def test_ngrams_are_put_together_only_where_one_may_begin(spark):
+    """Of 20,000 words, two of which begin an n-gram of the table, no row but the words' own comes from the scan's generators before the join."""
+    text = " ".join(["permission is", *(f"xq{k}" for k in range(20_000))])
+    plan = licenses.scan(docs_of(spark, [(1, text)]))._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(" not in plan and "w0" in plan
+    (first,) = [x for x in plan.split("\n") if "inline(arrays_zip" in x]
+    assert plan.index("Join Inner, (w0") < plan.index(first)
+
+
 def test_licence_edges(spark):
     assert licenses.scan(docs_of(spark, [])).collect() == []
     long = docs_of(spark, [(1, "word " * 30_000 + "Released under the MIT License."), (None, "Released under the MIT License.")]).selectExpr("*", "'x' as paragraph", "'x' as gram", "'x' as family", "1 as t", "2 as u", "3 as lines", "4 as k")
