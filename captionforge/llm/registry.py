@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, html_extract, kneser_ney, licenses, lm_scoring, mixing, quality_rules, sharding, simhash
+from . import bpe, exact_dedup, html_extract, kneser_ney_shards, licenses, lm_scoring, mixing, quality_rules, sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,7 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_mixing": mixing.op6_mixing,
         "op7_html_extraction": html_extract.op7_html_extraction,
         "op8_lm_scoring": lm_scoring.op8_lm_scoring,
-        "op9_quality_classifier": kneser_ney.op9_quality_classifier,
+        "op9_quality_classifier": kneser_ney_shards.op9_quality_classifier,
         "op10_sharding": sharding.op10_sharding,
         "pipeline": corpus_pipeline.run,
     }

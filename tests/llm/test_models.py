@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from captionforge.llm import gru, html_blocks, html_extract, kneser_ney, licenses, lm_scoring, page_maker
+from captionforge.llm import gru, html_blocks, html_extract, kneser_ney, kneser_ney_shards, licenses, lm_scoring, page_maker
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 SF = "/root/testdata/sf0.001"
@@ -455,3 +455,53 @@ def test_no_trusted_text(spark):
     model = kneser_ney.fit(spark.createDataFrame([], "text string"))
     (r,) = kneser_ney.classify(docs_of(spark, [(1, "a b c")]), model).collect()
     assert r["kept"] and r["n_tokens"] == 4
+
+
+def every_label(spark, rows, path):
+    """Documents and labels as files; the texts of the trusted ones, repeated rows as often as they are there."""
+    spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(f"{path}/documents.parquet")
+    good = {i for i, *_ in rows if i is not None and i % 3}
+    labels = [(i, 1, 0) for i in good] + [(i, 0, 0) for i in range(0, 60, 6)] + [(3, 1, 1)]
+    return spark.read.parquet(f"{path}/documents.parquet"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), [(t,) for i, t, *_ in rows if i in good]
+
+
+@pytest.mark.parametrize(("shards", "frequent"), [(None, 1 << 17), (7, 5)])
+def test_counts_of_all_trusted_texts(spark, tmp_path, monkeypatch, shards, frequent):
+    """The sharded model against fit of all trusted texts: one shard, and several over which the frequent words are spread."""
+    rnd = np.random.default_rng(7)
+    vocab = [f"w{k}" for k in range(60)] + ["Ünï", "the", "the", "the", "the"]
+    rows = [(i, " ".join(rnd.choice(vocab, rnd.integers(0, 40))) + (f" only{i}" if i % 4 == 0 else ""), ["en", "de", None][i % 5 % 3], None, None) for i in range(300)]
+    rows += [(1, "w1 w2 the w3", "en", None, None), (None, "the w1", "en", None, None), (301, None, "de", None, None), (302, "", "de", None, None), (304, "the w4 " * 3000, "en", None, None)]
+    docs, labels, texts = every_label(spark, rows, tmp_path)
+    monkeypatch.setattr(kneser_ney_shards, "CHUNK", 900)
+    if shards:
+        real, spans = kneser_ney_shards.placed, []
+        monkeypatch.setattr(kneser_ney_shards, "placed", lambda *x: (spans.append(real(*x)), spans[0])[1])
+    model = kneser_ney.fit(spark.createDataFrame(texts, "text string"))
+    want = sorted((str(r["doc_id"]), str(r["lang"]), r["n_tokens"], -1 if r["log_ppl"] is None else r["log_ppl"]) for r in kneser_ney.perplexities(docs, model).collect())
+    got = kneser_ney_shards.perplexities(docs, labels, shards=shards, frequent=frequent).collect()
+    assert all(r["trusted"] == bool(r["doc_id"] and r["doc_id"] % 3) for r in got)
+    got = sorted((str(r["doc_id"]), str(r["lang"]), r["n_tokens"], -1 if r["log_ppl"] is None else r["log_ppl"]) for r in got)
+    assert [r[:3] for r in got] == [r[:3] for r in want]
+    assert np.allclose([r[3] for r in got], [r[3] for r in want], atol=1e-4)
+    if shards:
+        assert len(spans[0].hot) > 1 and max(spans[0].spans) > 1
+
+
+def test_no_text_beyond_a_sample_is_left_out(spark, tmp_path):
+    """More labelled texts than the sample has: words of each one are known to the query."""
+    rows = [(i, f"rare{i} rare{i} rare{i} rare{i}", "en", None, None) for i in range(1, kneser_ney.TRUSTED * 2)]
+    docs, labels, texts = every_label(spark, rows, tmp_path)
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    assert len(texts) > kneser_ney.TRUSTED * 1.2
+    got = kneser_ney_shards.op9_quality_classifier(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    known = [r["log_ppl"] for r in got if r["doc_id"] % 3]
+    assert max(known) < min(r["log_ppl"] for r in got if r["doc_id"] % 3 == 0)
+
+
+def test_no_labels(spark, tmp_path):
+    docs, labels, _ = every_label(spark, [(1, "a b c", "en", None, None), (2, None, "en", None, None)], tmp_path)
+    got = {r["doc_id"]: r for r in kneser_ney_shards.classify_by_labels(docs, labels.limit(0)).collect()}
+    assert (got[1]["kept"], got[1]["n_tokens"], got[2]["kept"], got[2]["perplexity"]) == (True, 4, False, None)
+    assert kneser_ney_shards.classify_by_labels(docs.limit(0), labels).collect() == []
