@@ -15,6 +15,8 @@ import numpy as np
 HIDDEN = 16
 #: Lanes side by side, steps of a window: gradients go back so far, the state goes on.
 LANES, WINDOW = 256, 32
+#: Tokens whose classes are told at once.
+BLOCK = 2048
 RATE, SEED = 0.2, 5
 
 Params = dict[str, np.ndarray]
@@ -58,13 +60,12 @@ def no_squares(p: Params) -> Params:
     return {k: np.full(v.shape if v.ndim == 1 or k in "GNC" else (len(v), 1), 1e-8, np.float32) for k, v in p.items()}
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    """In place."""
-    np.multiply(x, 0.5, out=x)
-    np.tanh(x, out=x)
-    x += 1
-    x *= 0.5
-    return x
+def hold_memory() -> None:
+    """Lets the C library keep what arrays of a step took for the next step's.
+
+    It gives back, and takes page by page again, what exceeds twice the largest block that was freed so far; blocks above 32 MB don't count.
+    """
+    np.empty(31 << 20, np.uint8)
 
 
 class Lanes:
@@ -99,106 +100,170 @@ class Lanes:
             yield n, self.ids[place], self.which[place], self.first[place], there
 
 
+def beginnings(keep: np.ndarray) -> tuple[list[int], np.ndarray]:
+    """The lanes where a text starts, step after step, and where in these each step's begin."""
+    step, lane = np.nonzero(keep[:, :, 0] == 0)
+    return np.searchsorted(step, np.arange(len(keep) + 1)).tolist(), lane
+
+
 def forward(p: Params, e: np.ndarray, keep: np.ndarray, state: np.ndarray, kept: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The state before each step (time, lane, HIDDEN), and after the last. e: the inputs' rows of E; keep: 0 where a text starts."""
-    h, g, n, b = HIDDEN, p["G"], p["N"], p["g"]
-    out = np.empty((e.shape[0], e.shape[1], h), np.float32)
-    zr_in = e[:, :, : 2 * h] + b
-    for t in range(e.shape[0]):
-        state = state * keep[t]
-        out[t] = state
-        zr = state @ g
-        zr += zr_in[t]
-        zr = sigmoid(zr)
-        reset = zr[:, h:] * state
-        new = np.tanh(e[t, :, 2 * h :] + reset @ n)
-        if kept is not None:
-            kept.append((zr, reset, new))
-        step = new - state
-        step *= zr[:, :h]
-        state = state + step
+    """The state before each step (time, lane, HIDDEN), and after the last. e: the inputs' rows of E; keep: 0 where a text starts.
+
+    Both gates of a step lie one after the other, (2, lane, HIDDEN), so that nothing goes over parts of rows.
+    """
+    h, n, (steps, lanes) = HIDDEN, p["N"], e.shape[:2]
+    # sigmoid(x) = 1 / (1 + exp(-x)): signs are turned before the steps
+    g = np.stack([-p["G"][:, :h], -p["G"][:, h:]])
+    gates = np.empty((steps, 2, lanes, h), np.float32)
+    np.subtract(-p["g"][:h], e[:, :, :h], out=gates[:, 0])
+    np.subtract(-p["g"][h:], e[:, :, h : 2 * h], out=gates[:, 1])
+    news = np.ascontiguousarray(e[:, :, 2 * h :])
+    out = np.empty((steps, lanes, h), np.float32)
+    # without gradients a step's products and moves are written over those of the step before
+    resets, moves = (np.empty((steps if kept is not None else 1, lanes, h), np.float32) for _ in "rm")
+    product, own = np.empty((2, lanes, h), np.float32), np.empty((lanes, h), np.float32)
+    begin, lane = beginnings(keep)
+    with np.errstate(over="ignore"):
+        for t in range(steps):
+            at = t if kept is not None else 0
+            before, zr, reset, new, move = out[t], gates[t], resets[at], news[t], moves[at]
+            before[:] = state
+            if begin[t] < begin[t + 1]:
+                before[lane[begin[t] : begin[t + 1]]] = 0
+            np.matmul(before, g, out=product)
+            zr += product
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
+            np.multiply(zr[1], before, out=reset)
+            new += np.matmul(reset, n, out=own)
+            np.tanh(new, out=new)
+            np.subtract(new, before, out=move)
+            move *= zr[0]
+            state = before + move
+    if kept is not None:
+        kept.append((gates, resets, news, moves))
     return out, state
 
 
 def backward(p: Params, up: np.ndarray, out: np.ndarray, keep: np.ndarray, kept: list, grad: Params) -> np.ndarray:
     """The gradient at e, for that at the states; grad gets those of the recurrent weights."""
-    h, g, n = HIDDEN, p["G"].T, p["N"].T
-    de = np.empty((out.shape[0], out.shape[1], 3 * h), np.float32)
-    resets = np.empty_like(out)
-    d = np.zeros(out.shape[1:], np.float32)
+    h, (gates, resets, news, moves), (begin, lane) = HIDDEN, kept[-1], beginnings(keep)
+    to_z, to_r, to_n = (np.ascontiguousarray(x.T) for x in (p["G"][:, :h], p["G"][:, h:], p["N"]))
+    dz, dr, dn = (np.empty_like(out) for _ in range(3))
+    d, own, kept_d, at_reset = (np.zeros(out.shape[1:], np.float32) for _ in range(4))
     for t in range(out.shape[0] - 1, -1, -1):
-        zr, reset, new = kept[t]
-        z, r, state = zr[:, :h], zr[:, h:], out[t]
-        dn = d * z * (1 - new * new)
-        dr = dn @ n
-        de[t, :, 2 * h :] = dn
-        de[t, :, :h] = d * (new - state) * z * (1 - z)
-        de[t, :, h : 2 * h] = dr * state * r * (1 - r)
-        resets[t] = reset
-        d = (d * (1 - z) + dr * r + de[t, :, : 2 * h] @ g + up[t]) * keep[t]
-    flat = de.reshape(-1, 3 * h)
-    grad["G"] = out.reshape(-1, h).T @ flat[:, : 2 * h]
-    grad["N"] = resets.reshape(-1, h).T @ flat[:, 2 * h :]
-    grad["g"] = flat[:, : 2 * h].sum(0)
-    return de
-
-
-def shares(z: np.ndarray, bounded: bool) -> tuple[np.ndarray, np.ndarray]:
-    """exp(z) and its sums by row, in place; rows are first lowered to at most zero if they could overflow."""
+        (z, r), new = gates[t], news[t]
+        # d goes to the new state by z, to the old one by 1 - z
+        np.multiply(d, z, out=own)
+        np.subtract(d, own, out=kept_d)
+        np.multiply(kept_d, moves[t], out=dz[t])
+        np.multiply(new, new, out=dn[t])
+        np.subtract(1, dn[t], out=dn[t])
+        dn[t] *= own
+        np.matmul(dn[t], to_n, out=at_reset)
+        np.multiply(at_reset, r, out=own)
+        np.subtract(at_reset, own, out=at_reset)
+        np.multiply(at_reset, resets[t], out=dr[t])
+        np.add(kept_d, own, out=d)
+        d += np.matmul(dz[t], to_z, out=own)
+        d += np.matmul(dr[t], to_r, out=own)
+        d += up[t]
+        if begin[t] < begin[t + 1]:
+            d[lane[begin[t] : begin[t + 1]]] = 0
+    dz, dr, dn = (x.reshape(-1, h) for x in (dz, dr, dn))
+    states, ones = out.reshape(-1, h).T, np.ones(len(dz), np.float32)
+    grad["G"] = np.concatenate([states @ dz, states @ dr], axis=1)
+    grad["N"] = resets.reshape(-1, h).T @ dn
+    grad["g"] = np.concatenate([ones @ dz, ones @ dr])
+    return np.concatenate([dz, dr, dn], axis=1).reshape(*out.shape[:2], 3 * h)
+
+
+def shares(z: np.ndarray, place: np.ndarray, bounded: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row of z the value at place (in z laid flat), and the sum of exp(z). z becomes exp(z); where it could overflow, rows are first lowered to at most zero."""
     if not bounded:
         z -= z.max(1, keepdims=True)
-    ez = np.exp(z)
-    return ez, ez @ np.ones(z.shape[1], np.float32)
+    own = z.reshape(-1)[place]
+    np.exp(z, out=z)
+    return own, z @ np.ones(z.shape[1], np.float32)
 
 
 def predict(p: Params, layout: Layout, state: np.ndarray, ids: np.ndarray, grad: Params | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Natural log p of each id, given the state before it; with grad also the gradient of the mean loss at the states."""
-    n, c = len(ids), layout.classes[ids]
+    n, h, c = len(ids), HIDDEN, layout.classes[ids]
     # states are within -1 and 1, so this bounds every logit
     bounded = max(np.abs(p["C"]).sum(0).max() + np.abs(p["c"]).max(), np.abs(p["W"]).sum(1).max() + np.abs(p["w"]).max()) < 60
-    z = state @ p["C"]
-    z += p["c"]
-    rows = np.arange(n)
-    logp = layout.rest[ids]
-    if bounded:
-        logp += z[rows, c]
-    ez, total = shares(z, bounded)
-    if not bounded:
-        logp += z[rows, c]
-    logp -= np.log(total)
-    up = None
+    n_classes, n_own = len(p["c"]), len(layout.starts) - 1
+    # a column of ones takes the biases
+    state, plain = np.ones((n, h + 1), np.float32), state
+    state[:, :h] = plain
+    to_class, to_word = np.concatenate([p["C"], p["c"][None]]), np.concatenate([p["W"], p["w"][:, None]], axis=1)
+    logp, up = layout.rest[ids], None
     if grad is not None:
-        ez *= (1 / (n * total))[:, None]
-        ez[rows, c] -= np.float32(1 / n)
-        grad["C"], grad["c"] = state.T @ ez, np.ones(n, np.float32) @ ez
-        up = ez @ p["C"].T
+        up, from_class, at_class = np.empty((n, h), np.float32), np.ascontiguousarray(p["C"].T), np.zeros((h + 1, n_classes), np.float32)
         grad["W"], grad["w"] = np.zeros_like(p["W"]), np.zeros_like(p["w"])
-    n_own = len(layout.starts) - 1
+    buffer, steps = np.empty((min(n, BLOCK), n_classes), np.float32), np.arange(max(n, 1), dtype=np.int64)
+    for lo in range(0, n, BLOCK):
+        s = state[lo : lo + BLOCK]
+        z = np.matmul(s, to_class, out=buffer[: len(s)])
+        place = steps[: len(s)] * n_classes + c[lo : lo + BLOCK]
+        own, total = shares(z, place, bounded)
+        logp[lo : lo + BLOCK] += own - np.log(total)
+        if grad is not None:
+            z.reshape(-1)[place] -= total
+            part = 1 / (n * total)
+            at_class += (s * part[:, None]).T @ z
+            np.multiply(z @ from_class, part[:, None], out=up[lo : lo + BLOCK])
+    if grad is not None:
+        grad["C"], grad["c"] = at_class[:h].copy(), at_class[h].copy()
+
     order = np.argsort(c.astype(np.int16), kind="stable")
-    bounds = np.searchsorted(c[order], np.arange(n_own + 1))
-    within, by_class = layout.within[ids[order]], state[order]
-    for k in range(n_own):
-        cut, (lo, hi) = slice(bounds[k], bounds[k + 1]), layout.starts[k : k + 2]
-        m = bounds[k + 1] - bounds[k]
-        if m == 0 or hi - lo < 2:
+    bounds = np.searchsorted(c[order], np.arange(n_own + 1)).tolist()
+    order = order[: bounds[-1]]
+    within, state, found = layout.within[ids[order]], state.take(order, 0), np.zeros(len(order), np.float32)
+    ups = np.zeros((len(order), h), np.float32) if grad is not None else None
+    for k, (lo, hi) in enumerate(zip(layout.starts[:-1].tolist(), layout.starts[1:].tolist(), strict=True)):
+        a, b = bounds[k : k + 2]
+        if a == b or hi - lo < 2:
             continue
-        hs, w, own, r, at = by_class[cut], p["W"][lo:hi], within[cut], np.arange(m), order[cut]
-        z = hs @ w.T
-        z += p["w"][lo:hi]
-        if bounded:
-            logp[at] += z[r, own]
-        ez, total = shares(z, bounded)
-        if not bounded:
-            logp[at] += z[r, own]
-        logp[at] -= np.log(total)
+        s, place = state[a:b], steps[: b - a] * (hi - lo) + within[a:b]
+        z = s @ to_word[lo:hi].T
+        own, total = shares(z, place, bounded)
+        found[a:b] = own - np.log(total)
         if grad is not None:
-            ez *= (1 / (n * total))[:, None]
-            ez[r, own] -= np.float32(1 / n)
-            grad["W"][lo:hi], grad["w"][lo:hi] = ez.T @ hs, np.ones(m, np.float32) @ ez
-            up[at] += ez @ w
+            z.reshape(-1)[place] -= total
+            part = 1 / (n * total)
+            grad["W"][lo:hi], grad["w"][lo:hi] = z.T @ (s[:, :h] * part[:, None]), part @ z
+            np.multiply(z @ p["W"][lo:hi], part[:, None], out=ups[a:b])
+    logp[order] += found
+    if grad is not None:
+        up[order] = up.take(order, 0) + ups
     return logp, up
 
 
+def sums_by_row(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different rows, sorted, and the sums of their values: neighbours are added up, then neighbours of these, and so on."""
+    order = np.argsort(rows, kind="stable")
+    rows, values = rows[order], values.take(order, 0)
+    starts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+    sizes = np.diff(np.append(starts, len(rows)))
+    left = np.arange(len(rows)) - np.repeat(starts, sizes)
+    # by place in values, the number within its row; those that haven't been added to another yet
+    at = np.flatnonzero(left)
+    left, far = left[at], 1
+    while len(at):
+        odd = (left & 1).astype(bool)
+        given = at[odd]
+        to = given - far
+        values[to] = values.take(to, 0) + values.take(given, 0)
+        at, left, far = at[~odd], left[~odd] >> 1, 2 * far
+    return rows[starts], values.take(starts, 0)
+
+
+def mean_square(g: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,ij->i", g, g) / np.float32(g.shape[1])
+
+
 class Learner:
     """Adagrad over the windows of texts. Gradients go back within a window; a text's state goes on from its first token to its last."""
 
@@ -209,6 +274,7 @@ class Learner:
     def learn(self, texts: list[np.ndarray]) -> None:
         if not texts:
             return
+        hold_memory()
         laid, state, most = Lanes(texts), None, 0
         self.tokens += len(laid.ids)
         for n, ids, _, first, there in laid.windows(WINDOW):
@@ -222,7 +288,7 @@ class Learner:
         p, grad, kept = self.p, {}, []
         inputs = self.layout.inputs[ids]
         keep = (~first)[:, :, None].astype(np.float32)
-        out, last = forward(p, p["E"][inputs], keep, state, kept)
+        out, last = forward(p, p["E"].take(inputs, 0), keep, state, kept)
         if there.all():
             _, up = predict(p, self.layout, out.reshape(-1, HIDDEN), ids.ravel(), grad)
             full = up.reshape(out.shape)
@@ -239,20 +305,20 @@ class Learner:
         for k in ("G", "N", "g", "C", "c"):
             self.squares[k] += grad[k] * grad[k]
             p[k] -= self.rate * grad[k] / np.sqrt(self.squares[k])
-        s = self.squares["W"]
-        s[:, 0] += (grad["W"] * grad["W"]).mean(1)
-        p["W"] -= self.rate * grad["W"] / np.sqrt(s)
+        s, g = self.squares["W"], grad["W"]
+        s[:, 0] += mean_square(g)
+        g *= self.rate / np.sqrt(s)
+        p["W"] -= g
         self.squares["w"] += grad["w"] * grad["w"]
         p["w"] -= 0.3 * self.rate * grad["w"] / np.sqrt(self.squares["w"])
         return last
 
     def apply_rows(self, name: str, rows: np.ndarray, values: np.ndarray) -> None:
-        order = np.argsort(rows.astype(np.uint16) if self.layout.n_inputs < 65_536 else rows, kind="stable")
-        own, starts = np.unique(rows[order], return_index=True)
-        g = np.add.reduceat(values[order], starts, axis=0)
+        own, g = sums_by_row(rows.astype(np.uint16) if self.layout.n_inputs < 65_536 else rows, values)
         s = self.squares[name]
-        s[own, 0] += (g * g).mean(1)
-        self.p[name][own] -= self.rate * g / np.sqrt(s[own])
+        s[own, 0] += mean_square(g)
+        g *= self.rate / np.sqrt(s[own])
+        self.p[name][own] -= g
 
 
 def score(p: Params, layout: Layout, texts: list[np.ndarray]) -> np.ndarray:
@@ -260,10 +326,13 @@ def score(p: Params, layout: Layout, texts: list[np.ndarray]) -> np.ndarray:
     out = np.zeros(len(texts))
     if not texts:
         return out
+    hold_memory()
     state = None
     for n, ids, which, first, there in Lanes(texts).windows(2 * WINDOW):
         state = np.zeros((n, HIDDEN), np.float32) if state is None else state[:n]
-        states, state = forward(p, p["E"][layout.inputs[ids]], (~first)[:, :, None].astype(np.float32), state)
-        logp, _ = predict(p, layout, states[there], ids[there])
-        out += np.bincount(which[there], weights=logp, minlength=len(texts))
+        states, state = forward(p, p["E"].take(layout.inputs[ids], 0), (~first)[:, :, None].astype(np.float32), state)
+        if not there.all():
+            states, ids, which = states[there], ids[there], which[there]
+        logp, _ = predict(p, layout, states.reshape(-1, HIDDEN), ids.ravel())
+        out += np.bincount(which.ravel(), weights=logp, minlength=len(texts))
     return out

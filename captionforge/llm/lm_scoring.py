@@ -14,6 +14,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -140,7 +141,7 @@ class Vocabulary:
         words = tokens(text)
         out = np.zeros(len(words) + 1, np.int32)
         out[:-1] = np.fromiter(map(self.id.__getitem__, words), np.int32, len(words))
-        return out, [words[k] for k in np.flatnonzero(out > self.n_top)] if rare else []
+        return out, [words[k] for k in np.flatnonzero(out > self.n_top).tolist()] if rare else []
 
 
 def mean(t: pa.Table, up: int) -> pa.Table:
@@ -212,12 +213,18 @@ def learnt(named: DataFrame, vocabulary: Vocabulary, tokens: int, shard: int = S
     return p
 
 
+def listed(rare: list[Counter]) -> pa.Array:
+    """Each counter as a list of (word, n), put together flat and not entry by entry."""
+    ends, words = np.cumsum([0, *map(len, rare)]), pa.array(list(chain.from_iterable(rare)), pa.binary())
+    n = np.fromiter(chain.from_iterable(c.values() for c in rare), np.int32, ends[-1])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([words.cast(pa.string()), pa.array(n)], ["word", "n"]))
+
+
 def scored(named: DataFrame, vocabulary: Vocabulary, p: gru.Params) -> DataFrame:
     """Per text what its frequent words, and the classes of all, add to either score; and its rarer words."""
     sent = named.sparkSession.sparkContext.broadcast((vocabulary, p))
     rare = T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("n", T.IntegerType())]))
     schema = T.StructType([named.schema["doc_id"], named.schema["held_out"], *[T.StructField(c, t) for c, t in (("n_tokens", T.LongType()), ("known", T.LongType()), ("logs", T.DoubleType()), ("model", T.DoubleType()), ("rare", rare))]])
-    kind = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, p = sent.value
@@ -225,7 +232,7 @@ def scored(named: DataFrame, vocabulary: Vocabulary, p: gru.Params) -> DataFrame
         def out(held: list[tuple]) -> pa.RecordBatch:
             doc, fold, ids, known, logs, rare = map(list, zip(*held, strict=True))
             model = gru.score(p, vocabulary.layout, ids) / np.log(10)
-            columns = [pa.array(doc, kinds[0]), pa.array(fold, pa.bool_()), pa.array(list(map(len, ids)), pa.int64()), pa.array(known, pa.int64()), pa.array(logs, pa.float64()), pa.array(model, pa.float64()), pa.array([[{"word": w.decode(), "n": n} for w, n in c.items()] for c in rare], kind)]
+            columns = [pa.array(doc, kinds[0]), pa.array(fold, pa.bool_()), pa.array(list(map(len, ids)), pa.int64()), pa.array(known, pa.int64()), pa.array(logs, pa.float64()), pa.array(model, pa.float64()), listed(rare)]
             return pa.RecordBatch.from_arrays(columns, schema.names)
 
         held, n, kinds = [], 0, None
