@@ -4,8 +4,11 @@ For any string the last token of its encoding is fixed by the last token of a sh
 string may stand after the last token of what is before t. The distinct words are laid out as a trie, held as their sorted list
 (neighbours share the path of their common prefix), and a depth-first walk carries the last token of every prefix on the path.
 So the state of a prefix that many words share is computed once, and a word's tokens are read off backwards from its last state.
+The tokens that end at a place come from an automaton of the vocabulary (Aho and Corasick): a byte is one move of it, however long
+the word is.
 
-The words of a batch that are new go through the trie; a bounded store keeps what was encoded. Tokenizer files are read on the
+The words of a batch that are new are split together and go through the trie. A bounded store keeps what was encoded, in two halves:
+when the younger is full it becomes the older, and what isn't met again until the next time goes. Tokenizer files are read on the
 driver and sent to the workers (their size is that of the vocabulary, not of the input).
 """
 
@@ -15,6 +18,7 @@ import hashlib
 import json
 from array import array
 from collections.abc import Iterator
+from itertools import pairwise
 
 import pyarrow as pa
 import regex
@@ -26,7 +30,7 @@ from .common import table
 
 #: What ends or starts a pre-token, as the byte-level pre-tokenizer has it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Words that a worker keeps at most, and rows it turns over at once.
+#: Words that a worker keeps at most (and those of a batch), and rows it turns over at once.
 STORE, ROWS = 300_000, 500
 
 
@@ -60,17 +64,26 @@ class TrieBPE:
         for n, (a, b) in enumerate(merges):
             self.parts.setdefault(vocab[a + b], (vocab[a], vocab[b]))
             self.made.setdefault(vocab[a + b], n)
-        self.longest = max(map(len, self.ids))
+        #: The automaton's states are the beginnings of tokens; moves by state and byte and the tokens that end in a state are made when needed.
+        self.begins = list(dict.fromkeys(b[:n] for b in [b"", *self.ids] for n in range(len(b) + 1)))
+        self.states = {b: n for n, b in enumerate(self.begins)}
+        self.moves: dict[int, int] = {}
+        self.ends: list[list[tuple[int, int]] | None] = [None] * len(self.begins)
         self.find = regex.compile(PATTERN).findall
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.size = {i: len(b) for b, i in self.ids.items()}
+        #: what meets() found, by a << bits | b
+        self.bits = max(self.bytes).bit_length()
+        self.pairs: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
         self.store: dict[str, bytes] = {}
         self.pieces: dict[str, bytes | None] = {}
+        self.old_store: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes | None] = {}
 
     def meets(self, a: int, b: int) -> bool:
         """Whether tokens a and b stay as they are when they stand side by side: no merge across their border comes before the merges that made them."""
-        if (known := self.pairs.get((a, b))) is not None:
+        if (known := self.pairs.get(a << self.bits | b)) is not None:
             return known
         x, y, limit = a, b, len(self.rank)
         ok = None
@@ -87,7 +100,7 @@ class TrieBPE:
                 limit, y = my + 1, self.parts[y][0]
         if len(self.pairs) > 2_000_000:
             self.pairs.clear()
-        self.pairs[a, b] = ok
+        self.pairs[a << self.bits | b] = ok
         return ok
 
     def stands(self, t: int) -> bool:
@@ -106,53 +119,91 @@ class TrieBPE:
             parts[k : k + 2] = [merged]
         return parts == [t]
 
+    def move(self, key: int) -> int:
+        """The state after a state and a byte (state * 256 + byte): the longest beginning of a token that ends what was read."""
+        part = self.begins[key >> 8] + bytes([key & 255])
+        while part not in self.states:
+            part = part[1:]
+        if len(self.moves) > 2_000_000:
+            self.moves.clear()
+        state = self.moves[key] = self.states[part]
+        if self.ends[state] is None:
+            self.ends[state] = [(len(part) - n, self.ids[part[n:]]) for n in range(len(part)) if part[n:] in self.ids]
+        return state
+
     def walk(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         """(word, its ids as little-endian 32-bit integers) for distinct words, depth first through their trie."""
-        ids, longest, meets, stands = self.ids, self.longest, self.meets, self.stands
-        before, last, length = b"", [0], [0]
+        moves, ends, pairs, meets, stands, bits, size = self.moves, self.ends, self.pairs, self.meets, self.stands, self.bits, self.size
+        before, state, last = b"", [0], [0]
         for word in sorted(words):
             n, k = min(len(word), len(before)), 0
             while k < n and word[k] == before[k]:
                 k += 1
-            del last[k + 1 :], length[k + 1 :]
-            for end in range(k + 1, len(word) + 1):
-                for start in range(max(0, end - longest), end):
-                    t = ids.get(word[start:end])
-                    if t is not None and (meets(last[start], t) if start else stands(t)):
+            del state[k + 1 :], last[k + 1 :]
+            at, end = state[k], k
+            for c in word[k:]:
+                end += 1
+                key = at << 8 | c
+                if (at := moves.get(key)) is None:
+                    at = self.move(key)
+                for n, t in ends[at]:
+                    if n == end:
+                        ok = stands(t)
+                    elif (ok := pairs.get(last[end - n] << bits | t)) is None:
+                        ok = meets(last[end - n], t)
+                    if ok:
+                        state.append(at)
                         last.append(t)
-                        length.append(end - start)
                         break
                 else:
                     raise ValueError(f"no token ends {word[:end]!r}")
-            out, at = [], len(word)
-            while at:
-                out.append(last[at])
-                at -= length[at]
-            yield word, array("I", out[::-1]).tobytes()
+            out = []
+            while end:
+                out.append(t := last[end])
+                end -= size[t]
+            out.reverse()
+            yield word, array("I", out).tobytes()
             before = word
 
     def _add(self, pretokens: set[str]) -> None:
-        new = {p.encode(): p for p in pretokens if p not in self.store}
+        new = {}
+        for p in pretokens:
+            if p not in self.store:
+                if (ids := self.old_store.get(p)) is not None:
+                    self.store[p] = ids
+                else:
+                    new[p.encode()] = p
         for b, ids in self.walk(list(new)):
             self.store[new[b]] = ids
 
     def learn(self, texts: list[str]) -> None:
         """Encodes what the texts have that isn't stored yet."""
-        if len(self.pieces) > STORE or len(self.store) > STORE:
-            self.pieces.clear()
-            self.store.clear()
+        if len(self.pieces) > STORE // 2:
+            self.pieces, self.old_pieces = {}, self.pieces
+        if len(self.store) > STORE // 2:
+            self.store, self.old_store = {}, self.store
         firsts, new = set(), set()
         for text in texts:
             p = text.split(" ")
             firsts.add(p[0])
             new.update(p)
-        new = {x: self.find(" " + x) for x in new if x not in self.pieces}
-        heads = {x: self.find(x) for x in firsts if x not in self.store}
-        self._add({p for f in (new, heads) for ps in f.values() for p in ps})
-        for x, ps in new.items():
-            # a piece with white space at an end may share a run of it with its neighbour: such texts are split as a whole
-            self.pieces[x] = b"".join(map(self.store.__getitem__, ps)) if x and not x[0].isspace() and not x[-1].isspace() else None
-        self.heads = {x: b"".join(map(self.store.__getitem__, self.find(x))) if x and not x[-1].isspace() else None for x in firsts}
+        new.difference_update(self.pieces)
+        again = {x: self.old_pieces[x] for x in new if x in self.old_pieces}
+        self.pieces.update(again)
+        new.difference_update(again)
+        # a piece with white space at an end may share a run of it with its neighbour: such texts are split as a whole
+        odd = {x for x in new if not x or x[0].isspace() or x[-1].isspace()}
+        self.pieces.update(dict.fromkeys(odd))
+        # the others are split together: a space between two of them begins a pre-token, and none goes on over it
+        new = list(new - odd)
+        found = self.find(" " + " ".join(new)) if new else []
+        heads = {x: self.find(x) for x in firsts if x and not x[-1].isspace()}
+        self._add({*found, *(p for ps in heads.values() for p in ps)})
+        coded = list(map(self.store.__getitem__, found))
+        starts = [k for k, p in enumerate(found) if p[0] == " "] + [len(found)]
+        for x, (k, end) in zip(new, pairwise(starts), strict=True):
+            self.pieces[x] = coded[k] if end - k == 1 else b"".join(coded[k:end])
+        self.heads = {x: b"".join(map(self.store.__getitem__, heads[x])) if x in heads else None for x in firsts}
 
     def encode_learned(self, text: str) -> bytes:
         """The ids of a text that learn() has seen."""

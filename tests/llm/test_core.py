@@ -1,6 +1,7 @@
 import hashlib
 import random
 import struct
+import sys
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -133,6 +134,48 @@ def test_bpe_random_strings(library):
         assert own.encode(t) == e.ids, t
 
 
+def test_bpe_steps_do_not_grow_with_the_word(library):
+    own, rnd = bpe.TrieBPE(open(bpe.default_tokenizer()).read()), random.Random(5)
+    word = "".join(rnd.choice("abcdeeeinnrstth") for _ in range(2000)).encode()
+    want = library.encode(word.decode(), add_special_tokens=False).ids
+    assert struct.unpack(f"<{len(want)}I", dict(own.walk([word]))[word]) == tuple(want)
+    calls = Counter()
+    sys.setprofile(lambda frame, event, arg: calls.update([event]))
+    try:
+        list(own.walk([word]))
+    finally:
+        sys.setprofile(None)
+    assert calls["c_call"] < 8 * len(word)
+
+
+def test_bpe_store_keeps_words_in_use(library, monkeypatch):
+    monkeypatch.setattr(bpe, "STORE", 400)
+    own, rnd = bpe.TrieBPE(open(bpe.default_tokenizer()).read()), random.Random(6)
+    walked, walk = Counter(), bpe.TrieBPE.walk
+    monkeypatch.setattr(bpe.TrieBPE, "walk", lambda self, words: walked.update(words) or walk(self, words))
+    usual = [f"x{n:03}." for n in range(50)]
+    for _ in range(40):
+        texts = [" ".join(["", *usual, *("".join(rnd.choice("abcdenrst'é\n") for _ in range(9)) for _ in range(60))]) for _ in range(2)]
+        own.learn(texts)
+        for t in texts:
+            ids = library.encode(t, add_special_tokens=False).ids
+            assert struct.unpack(f"<{len(ids)}I", own.encode_learned(t)) == tuple(ids)
+        assert sum(len(v) for k, v in vars(own).items() if k.endswith("pieces")) < 400 + 2 * 170
+    assert [walked[p] for p in (b" x", b".", b"000", b"049")] == [1, 1, 1, 1]
+
+
+def test_bpe_splits_new_words_together(library):
+    own, rnd = bpe.TrieBPE(open(bpe.default_tokenizer()).read()), random.Random(8)
+    parts = [*"abcdenrst.,'é日🎉12½\n\t\x1c\x85\xa0\u3000\u200b ", "'s", "'ll", "  ", " \n", "\r\n", "***", "<|endoftext|>"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 60))) for _ in range(1500)]
+    found, find = [], own.find
+    own.find = lambda text: found.append(text) or find(text)
+    own.learn(texts)
+    assert len(found) <= 1 + len({t.split(" ")[0] for t in texts})
+    for t, e in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert struct.unpack(f"<{len(e.ids)}I", own.encode_learned(t)) == tuple(e.ids), t
+
+
 def test_bpe_ids_and_text(docs):
     got = bpe.bpe_encode(docs.filter("text is not null"))
     assert got.columns == ["doc_id", "n_tokens", "ids", "decoded"]
