@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Bytes of a table's files that go to a task: some 300,000 rows of lineitem.
+SHARE = 4_000_000
 #: Blank, repeated, odd and broken-off texts; ideographs, of an old tale or not, alone or with Latin; two and three lines, marks alone; a break at the end.
 TEXT = (
     "case when event_id % 17 = 0 then '' when event_id % 13 = 0 then 'aaaa' when event_id % 11 = 0 then '!!' when event_id % 7 = 0 then event_type || '...' "
@@ -51,6 +53,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """The table by key, in parts whose number grows with its files: sorts and aggregates hold all of a task's rows.
+
+    Spark's own number is fixed, or goes by compressed bytes of an exchange, of which a task's rows take many times as much.
+    """
+    rows = table(spark, sf_dir, name)
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, -(-size // SHARE)), key)
+
+
 def subs(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.row_number().over(order).alias("idx"))
@@ -72,7 +84,7 @@ def frame_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey")) - 1
-    numbered = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_orderkey", k.alias("k"))
+    numbered = dealt(spark, sf_dir, "lineitem", "l_suppkey").select("l_suppkey", "l_partkey", "l_orderkey", k.alias("k"))
     return numbered.select(F.col("l_suppkey").alias("img_id"), F.expr("cast(k div 20 as int)").alias("y"), (F.col("k") % 20).alias("x"), *[F.expr(f"cast({e} as int)").alias(c) for c, e in BYTES.items()])
 
 

@@ -350,6 +350,19 @@ def test_queries_agree_with_their_sql(spark):
         assert Counter(tuple(r[n] for n in names) for r in df.collect()) == Counter(tuple(r[i] for i in order) for r in rows), name
 
 
+@pytest.mark.parametrize("name", ["color_mask"])
+def test_parts_grow_with_the_table(spark, monkeypatch, name):
+    from captionforge.plans import carriers, catalog
+
+    monkeypatch.setattr(carriers, "SHARE", 5_000, raising=False)
+    query = catalog.queries()[name]
+    parts = query(spark, SF).rdd.getNumPartitions()
+    assert parts > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    whole = Counter(map(tuple, query(spark, SF).collect()))
+    monkeypatch.setattr(carriers, "SHARE", 1 << 40)
+    assert query(spark, SF).rdd.getNumPartitions() < parts and Counter(map(tuple, query(spark, SF).collect())) == whole
+
+
 def test_catalogue_needs_no_session():
     import subprocess
     import sys
