@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Bytes of a table's files that go to a task: some 300,000 rows of lineitem.
+#: Bytes of a table's files that go to a task: some 300,000 rows of lineitem, a million words.
 SHARE = 4_000_000
 #: Blank, repeated, odd and broken-off texts; ideographs, of an old tale or not, alone or with Latin; two and three lines, marks alone; a break at the end.
 TEXT = (
@@ -99,11 +99,17 @@ def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("video_id"))
 
 
+def lines_of(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("doc_id").alias("line_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("line_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return lines_of(table(spark, sf_dir, "documents"))
 
 
-def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+def words(spark: SparkSession, sf_dir: str, together: bool = False) -> DataFrame:
+    """Words of lines; together: a line's words lie in one task, dealt out as texts, which take a fraction of their words' bytes."""
     t = F.array_remove(F.split("text", r"[ \t\n\r\f\x0B]+"), "")
-    e = lines(spark, sf_dir).select("line_id", F.posexplode(t).alias("pos", "text"))
+    read = lines_of(dealt(spark, sf_dir, "documents", "doc_id")) if together else lines(spark, sf_dir)
+    e = read.select("line_id", F.posexplode(t).alias("pos", "text"))
     return e.select("line_id", "pos", F.expr("cast(pos div 9 as int)").alias("row"), "text", (F.length("text") * 7).cast("double").alias("w"), F.lit(12.0).alias("h"))

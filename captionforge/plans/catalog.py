@@ -76,7 +76,7 @@ def coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = ocr.lines(carriers.words(spark, sf_dir))
+    found = ocr.lines(carriers.words(spark, sf_dir, together=True))
     return found.select("line_id", "text", F.round("confidence", 6).alias("confidence"))
 
 

@@ -363,6 +363,13 @@ def test_parts_grow_with_the_table(spark, monkeypatch, name):
     assert query(spark, SF).rdd.getNumPartitions() < parts and Counter(map(tuple, query(spark, SF).collect())) == whole
 
 
+def test_lines_are_dealt_out_as_texts(spark):
+    from captionforge.plans import catalog
+
+    plan = catalog.queries()["line_confidence"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and plan.index("Generate ") < plan.index("Exchange ")
+
+
 def test_catalogue_needs_no_session():
     import subprocess
     import sys
