@@ -350,7 +350,7 @@ def test_queries_agree_with_their_sql(spark):
         assert Counter(tuple(r[n] for n in names) for r in df.collect()) == Counter(tuple(r[i] for i in order) for r in rows), name
 
 
-@pytest.mark.parametrize("name", ["color_mask", "close_gaps", "adaptive_mean", "region_score", "dilate"])
+@pytest.mark.parametrize("name", ["color_mask", "close_gaps", "adaptive_mean", "region_score", "dilate", "erode"])
 def test_parts_grow_with_the_table(spark, monkeypatch, name):
     from captionforge.plans import carriers, catalog
 
